@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_small, null_safe_key, unit_hash, word_count
@@ -52,13 +52,46 @@ def source_targets(
     )
 
 
-def _copies(seed: int):
+#: Seeds tried for a source; the one whose draw comes nearest the target is kept.
+SEEDS = 16
+
+
+def _base_hash(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+
+def _copies(pick: Column) -> Column:
+    """floor(rate) copies, and one more if the hash for seed ``pick`` falls under the fraction."""
     whole = F.floor("rate")
-    return (whole + (F.col("draw") < F.col("rate") - whole).cast("int")).cast("int")
+    return (whole + (unit_hash(F.col("h"), pick) < F.col("rate") - whole).cast("int")).cast("int")
 
 
-def _draw(id_col: str, text_col: str, seed: int):
-    return unit_hash(F.col(id_col), F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")), seed=seed)
+def _rates(thin: DataFrame, weights: Sequence[float], total_share: float, cap: float) -> DataFrame:
+    """One row a source: ``stratum, source_size, target, rate, pick`` (cut).
+
+    Each of the ``SEEDS`` seeds is a fair draw; small sources would still stray
+    from their target by some percent, so each source takes the seed whose
+    words taken come nearest it.
+    """
+    sizes = thin.groupBy("stratum").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    targets = cut(source_targets(sizes, weights, total_share, cap).drop("source"))
+    tried = (
+        join_small(thin, targets.select("stratum", "rate"), "stratum")
+        .groupBy("stratum")
+        .agg(*[F.sum(F.col("size") * _copies(F.lit(k))).alias(f"taken_{k}") for k in range(SEEDS)])
+    )
+    misses = F.array(*[F.struct(F.abs(F.col(f"taken_{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(SEEDS)])
+    return cut(targets.join(tried, "stratum").withColumn("pick", F.array_min(misses)["k"]).select("stratum", "source_size", "target", "rate", "pick"))
+
+
+def _thin(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        null_safe_key(source_col).alias("stratum"),
+        word_count(F.col(text_col).cast("string")).alias("size"),
+        _base_hash(id_col, text_col, seed).alias("h"),
+    )
 
 
 def plan_mix(
@@ -78,20 +111,11 @@ def plan_mix(
     share one draw, so reruns and repeated rows agree.  A source of size 0 has
     target 0.  An empty table gives an empty result; extra columns are ignored.
     """
-    thin = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            null_safe_key(source_col).alias("stratum"),
-            word_count(F.col(text_col).cast("string")).alias("size"),
-            _draw(id_col, text_col, seed).alias("draw"),
-        )
-    )
-    sizes = thin.groupBy("stratum").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    targets = cut(source_targets(sizes, weights, total_share, cap).drop("source"))
+    thin = cut(_thin(docs, seed, id_col, text_col, source_col))
+    rates = _rates(thin, weights, total_share, cap)
     return (
-        join_small(thin, targets, "stratum")
-        .withColumn("copies", _copies(seed))
+        join_small(thin, rates, "stratum")
+        .withColumn("copies", _copies(F.col("pick")))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
     )
 
@@ -111,12 +135,10 @@ def mix(
     Texts are not shuffled: the rates of the sources come to the documents.
     Same rules for nulls, ties and repeated rows as :func:`plan_mix`.
     """
-    columns = docs.columns
-    sized = docs.select(
-        null_safe_key(source_col).alias("stratum"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size")
+    thin = cut(_thin(docs, seed, id_col, text_col, source_col).drop("doc_id"))
+    rates = _rates(thin, weights, total_share, cap).select("stratum", "rate", "pick")
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), null_safe_key(source_col).alias("stratum"), _base_hash(id_col, text_col, seed).alias("h")
     )
-    sizes = sized.groupBy("stratum").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    targets = cut(source_targets(sizes, weights, total_share, cap).select("stratum", "rate"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), null_safe_key(source_col).alias("stratum"), _draw(id_col, text_col, seed).alias("draw"))
-    taken = join_small(whole, targets, "stratum").withColumn("copies", _copies(seed)).where("copies > 0")
+    taken = join_small(whole, rates, "stratum").withColumn("copies", _copies(F.col("pick"))).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import plan_mix
+from .quality import quality_rules
 from .sharding import shard_by_mixture
 from .common import table
 
@@ -15,10 +16,15 @@ def op2_mixing(spark, sf_dir):
     return plan_mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents")).drop("lost")
+
+
 def queries():
     return {
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
+        "op6_quality": op6_quality,
     }
 
 
