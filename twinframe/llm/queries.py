@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import plan_mix
+from .pieces import encode_pieces
 from .quality import quality_rules
 from .sharding import shard_by_mixture
 from .common import table
@@ -20,11 +21,23 @@ def op6_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("lost")
 
 
+def tokenizer_file(name):
+    """Path of a public tokenizer's file; the files stay where they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_sentencepiece(spark, sf_dir):
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries():
     return {
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
         "op6_quality": op6_quality,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
