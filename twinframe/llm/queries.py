@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .langid import identify
+from .lengths import length_histogram, token_lengths
 from .mixing import plan_mix
 from .pieces import encode_pieces
 from .quality import quality_rules
@@ -17,6 +19,10 @@ def op2_mixing(spark, sf_dir):
     return plan_mix(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("lost")
 
@@ -28,6 +34,12 @@ def tokenizer_file(name):
     return public_tokenizers.path(name)
 
 
+def op8_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return length_histogram(token_lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op10_sentencepiece(spark, sf_dir):
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -36,7 +48,9 @@ def queries():
     return {
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
+        "op3_language_id": op3_language_id,
         "op6_quality": op6_quality,
+        "op8_token_counts": op8_token_counts,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
