@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import near_duplicates
 from .langid import identify
 from .lengths import length_histogram, token_lengths
 from .mixing import plan_mix
@@ -23,6 +24,10 @@ def op3_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op6_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("lost")
 
@@ -49,6 +54,7 @@ def queries():
         "op1_sharding": op1_sharding,
         "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
+        "op4_jaccard": op4_jaccard,
         "op6_quality": op6_quality,
         "op8_token_counts": op8_token_counts,
         "op10_sentencepiece": op10_sentencepiece,
