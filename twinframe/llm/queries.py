@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import nearest
 from .jaccard import near_duplicates
 from .langid import identify
 from .lengths import length_histogram, token_lengths
@@ -39,6 +40,11 @@ def tokenizer_file(name):
     return public_tokenizers.path(name)
 
 
+def op7_neighbours(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -56,6 +62,7 @@ def queries():
         "op3_language_id": op3_language_id,
         "op4_jaccard": op4_jaccard,
         "op6_quality": op6_quality,
+        "op7_neighbours": op7_neighbours,
         "op8_token_counts": op8_token_counts,
         "op10_sentencepiece": op10_sentencepiece,
     }
