@@ -17,67 +17,55 @@ from .common import SPACE_CLASS, WORD_PATTERN, cut, join_small, null_safe_key
 WINDOW = 8
 
 
-def _words(text: Column) -> Column:
-    """Words in order; leading and trailing separators leave no empty strings."""
-    trimmed = F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE_CLASS}+"))
-
-
-def _covered_words(hashes: Column) -> Column:
-    """Words inside windows that occur twice or more, from the hashes by position.
+def base_figures(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
-    Sorting (hash, position) puts equal windows side by side; the positions of
-    windows with an equal neighbour, sorted, are starts of intervals of
-    ``WINDOW`` words whose union is summed gap by gap.
+    Arrays that a lambda looks into are columns of their own, each named at
+    least twice in the next step: the optimiser then keeps them apart instead
+    of computing them anew for every element.  A window of eight words can only
+    be found twice if a run of four is, so most texts stop after hashing runs
+    of four.
     """
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    tagged = F.transform(
-        pairs,
-        lambda p, k: F.struct(
-            p["i"].alias("i"),
-            (
-                (F.coalesce(F.get(pairs, k - 1)["h"] == p["h"], F.lit(False))) | (F.coalesce(F.get(pairs, k + 1)["h"] == p["h"], F.lit(False)))
-            ).alias("again"),
-        ),
-    )
-    return F.array_sort(F.transform(F.filter(tagged, lambda t: t["again"]), lambda t: t["i"]))
-
-
-def base_figures(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    step1 = docs.withColumns({"_t": F.coalesce(text, F.lit(""))})
-    step2 = step1.withColumns(
+    half = WINDOW // 2
+    step = docs.withColumn("_t", F.coalesce(text, F.lit("")))
+    step = step.withColumns(
         {
-            "_w": _words(F.col("_t")),
-            "word_chars": F.length(F.regexp_replace("_t", f"{SPACE_CLASS}+", "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long"),
+            "_w": F.array_remove(F.split("_t", f"{SPACE_CLASS}+"), ""),
+            "n_symbols": F.coalesce(F.regexp_count("_t", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long"),
             "_l": F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD_PATTERN)),
         }
     )
-    step3 = step2.withColumns(
+    step = step.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "_wh": F.transform("_w", lambda w: F.xxhash64(w)),
+            "_f": F.transform(
+                F.slice("_w", F.lit(1), F.greatest(F.size("_w") - (half - 1), F.lit(0))),
+                lambda w, i: F.xxhash64(w, *[F.get(F.col("_w"), i + k) for k in range(1, half)]),
+            ),
         }
     )
-    step4 = step3.withColumn(
-        "_h",
-        F.when(
-            F.col("n_words") >= WINDOW,
-            F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_wh"), i, WINDOW))),
-        ).otherwise(F.array().cast("array<bigint>")),
+    step = step.withColumn("_maybe", (F.size("_w") >= WINDOW) & (F.size("_f") > F.size(F.array_distinct("_f"))))
+    windows = F.zip_with(
+        F.slice("_f", F.lit(1), F.greatest(F.size("_f") - half, F.lit(0))), F.slice("_f", F.lit(half + 1), F.greatest(F.size("_f") - half, F.lit(0))), lambda a, b: F.xxhash64(a, b)
     )
-    step5 = step4.withColumn("_twice", F.size("_h") > F.size(F.array_distinct("_h")))
-    step6 = step5.withColumn("_p", F.when(F.col("_twice"), _covered_words(F.col("_h"))))
+    step = step.withColumn("_h", F.when(F.col("_maybe"), windows))
+    # sorting (hash, position) puts equal windows side by side
+    pairs = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.withColumn("_s", F.when(F.size("_h") > F.size(F.array_distinct("_h")), pairs))
+    beside = lambda p, k: F.coalesce(F.get(F.col("_s"), k)["h"] == p["h"], F.lit(False))
+    tagged = F.transform("_s", lambda p, k: F.when(beside(p, k - 1) | beside(p, k + 1), p["i"]))
+    step = step.withColumn("_p", F.array_sort(F.filter(tagged, lambda i: i.isNotNull())))
+    # starts of windows in order; the union of their words is summed gap by gap
     gaps = F.aggregate(
         F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), k + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("bigint"),
         lambda a, x: a + x,
     )
-    step7 = step6.withColumn("n_repeat_words", F.when(F.col("_twice"), gaps).otherwise(F.lit(0)).cast("long"))
-    return step7.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).drop(
-        "_t", "_w", "_l", "_wh", "_h", "_twice", "_p"
+    step = step.withColumn("n_repeat_words", F.coalesce(gaps, F.lit(0)).cast("long"))
+    return step.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).drop(
+        "_t", "_w", "_l", "_f", "_maybe", "_h", "_s", "_p"
     )
 
 

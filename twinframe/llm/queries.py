@@ -11,6 +11,7 @@ from .pieces import encode_pieces
 from .quality import quality_rules
 from .sharding import shard_by_mixture
 from .common import table
+from .toxicity import toxicity
 
 
 def op1_sharding(spark, sf_dir):
@@ -29,6 +30,10 @@ def op4_jaccard(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("lost")
 
@@ -61,6 +66,7 @@ def queries():
         "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
         "op4_jaccard": op4_jaccard,
+        "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
         "op7_neighbours": op7_neighbours,
         "op8_token_counts": op8_token_counts,
