@@ -411,7 +411,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_documents(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
     """The columns in ``keep`` with ``score`` and ``predicted`` (1 from ``threshold`` on)."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "int")
+    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
     shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed in size by its parameters
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
