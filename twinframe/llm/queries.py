@@ -6,6 +6,7 @@ from .ann import nearest
 from .jaccard import near_duplicates
 from .langid import identify
 from .lengths import length_histogram, token_lengths
+from .licenses import scan_licences
 from .mixing import plan_mix
 from .pieces import encode_pieces
 from .quality import quality_rules
@@ -38,6 +39,10 @@ def op6_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("lost")
 
 
+def op9_licences(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_file(name):
     """Path of a public tokenizer's file; the files stay where they are installed."""
     import public_tokenizers
@@ -70,6 +75,7 @@ def queries():
         "op6_quality": op6_quality,
         "op7_neighbours": op7_neighbours,
         "op8_token_counts": op8_token_counts,
+        "op9_licences": op9_licences,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
