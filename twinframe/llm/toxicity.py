@@ -80,8 +80,9 @@ class Network:
         self.word_odds = np.zeros(1 << WORD_BITS, dtype=np.float32)
         self.char_odds = np.zeros(1 << CHAR_BITS, dtype=np.float32)
         self.p = {
-            "word": (rng.standard_normal((1 << WORD_BITS, WORD_DIM)) * 0.1).astype(np.float32),
-            "char": (rng.standard_normal((1 << CHAR_BITS, CHAR_DIM)) * 0.1).astype(np.float32),
+            # embeddings start at zero, so words never met in training stay neutral
+            "word": np.zeros((1 << WORD_BITS, WORD_DIM), dtype=np.float32),
+            "char": np.zeros((1 << CHAR_BITS, CHAR_DIM), dtype=np.float32),
             "att": small(2 * HIDDEN),
             "out": small(2 * HIDDEN),
             "bias": np.full(1, -1.0, dtype=np.float32),
@@ -208,17 +209,19 @@ def _odds(seen: list[np.ndarray], labels: np.ndarray, bits: int) -> np.ndarray:
     return (np.where(n >= 2, odds * n / (n + 3.0), 0.0) / 2).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 5, seed: int = 3) -> Network:
+def train(texts: list[str], labels: np.ndarray, class_weights: tuple[float, float] = (1.0, 1.0), epochs: int | None = None, seed: int = 3) -> Network:
     """Fit on whole labelled texts.
 
     A toxic document need be toxic in one window only, so every epoch scores
     all windows and learns from each document's highest ones.
+    ``class_weights`` undo the sampling of the classes in the calibration.
     """
     rng = np.random.default_rng(seed)
     net, words = Network(seed), Words(WordHasher())
     labels = np.asarray(labels, dtype=np.int64)
     if len(labels) < 2 * FOLDS or labels.min() == labels.max():
         return net  # nothing to tell apart; every score is the same low one
+    epochs = epochs or (5 if len(labels) > 1000 else 10)
     docs = [words.read(t) for t in texts]
     bucket = [word_bucket(d[0]) for d in docs]
     fold = rng.permutation(len(docs)) % FOLDS
@@ -272,7 +275,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, seed: int = 3)
             times = max(1, min(6, (len(chosen) - len(positive)) // max(1, 3 * len(positive))))
             chosen = [c for c in chosen if not labels[c[0]]] + positive * times
             rng.shuffle(chosen)
-            size = 256 if len(chosen) > 2000 else 64
+            size = 256 if len(chosen) > 2000 else 128 if len(chosen) > 500 else 32
             batches += [(f, chosen[at : at + size]) for at in range(0, len(chosen), size)]
         for k in rng.permutation(len(batches)):
             f, part = batches[k]
@@ -292,7 +295,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, seed: int = 3)
                 n, m = n + e - s, m + hi - lo
             _, g = net.gradients(*(np.concatenate(v) for v in (b, tri, st, en)), np.array(first), np.array(length), np.array(y, dtype=np.float32))
             step += 1
-            rate = 0.01 * (0.6**epoch)
+            rate = 0.01 * 0.1 ** (epoch / epochs)
             for k, v in net.p.items():
                 m1, m2 = moments[k]
                 m1 += 0.1 * (g[k] - m1)
@@ -303,19 +306,21 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 5, seed: int = 3)
     _, own, most = best_windows(FOLDS - 1, 1)
     net.blank = float(np.median(most[labels[own] == 0])) if (labels[own] == 0).any() else net.blank
     if labels[own].min() != labels[own].max():
-        net.scale, net.shift = _calibrate(most, labels[own])
+        net.scale, net.shift = _calibrate(most, labels[own], class_weights)
     net.word_odds, net.char_odds = tables(fold >= 0)
     return net
 
 
-def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(logit: np.ndarray, y: np.ndarray, class_weights: tuple[float, float]) -> tuple[float, float]:
     """Slope (drawn to 1, at least 0) and intercept of a logistic fit by Newton's method."""
     a, b = 1.0, 0.0
     x = logit.astype(np.float64)
+    each = np.where(y == 1, class_weights[1], class_weights[0])
+    each = each / each.mean()
     for _ in range(50):
         p = _sigmoid(a * x + b)
-        w = p * (1 - p) + 1e-9
-        ga, gb = ((p - y) * x).sum() + (a - 1.0), (p - y).sum()
+        w = each * p * (1 - p) + 1e-9
+        ga, gb = (each * (p - y) * x).sum() + (a - 1.0), (each * (p - y)).sum()
         haa, hab, hbb = (w * x * x).sum() + 1.0, (w * x).sum(), w.sum() + 1e-6
         det = haa * hbb - hab * hab
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
@@ -405,7 +410,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .collect()
     )
     rows = sorted({(r["_id"], r["t"], r["y"]) for r in rows})
-    return train([t for _, t, _ in rows], np.array([int(y > 0) for _, _, y in rows], dtype=np.int64))
+    y = np.array([int(y > 0) for _, _, y in rows], dtype=np.int64)
+    weights = tuple(sum(n for k, n in counts.items() if (k > 0) == bool(v)) / max(1, int((y == v).sum())) for v in (0, 1))
+    return train([t for _, t, _ in rows], y, weights)
 
 
 def score_documents(docs: DataFrame, net: Network, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
