@@ -139,14 +139,13 @@ def quality_rules(
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_left: float = 1 / 3) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; lines stay as they are."""
-    worn = depleted(docs, text_col, host_col, max_docs, min_left)
-    whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col(text_col).cast("string").alias("text"),
-        page_key(text_col, host_col).alias("page"),
-    )
-    good = base_figures(whole, F.col("text")).where(~F.col("base_failed")).select("doc", "page")
-    return join_small(good, worn, "page", "left_anti").select("doc.*")
+    page = page_key(text_col, host_col)
+    # cut before the filter: pushed below, it would compute the figures' arrays many times
+    figures = cut(base_figures(docs.select(page.alias("page"), F.col(text_col).cast("string").alias("text")), F.col("text")).select("page", "base_failed"))
+    worn = depleted(docs, text_col, host_col, max_docs, min_left).select("page")
+    bad = cut(figures.where("base_failed").select("page").union(worn).distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), page.alias("page"))
+    return join_small(whole, bad, "page", "left_anti").select("doc.*")
 
 
 def without_frequent_lines(
