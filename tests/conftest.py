@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("spark")
     conf = {
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.showConsoleProgress": "false",
@@ -20,7 +20,7 @@ def spark(tmp_path_factory):
         "spark.sql.warehouse.dir": str(folder / "warehouse"),
         "spark.driver.memory": "4g",
     }
-    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
