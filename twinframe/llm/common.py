@@ -33,17 +33,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
-    Reliable checkpoints survive lost executors.  Plans that are no longer
-    referenced release their shuffle files once the driver collects garbage, so
-    that is asked for here: long jobs would otherwise keep every old shuffle.
+    Reliable checkpoints survive lost executors.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
+    """Ask for the shuffle files of plans that are no longer referenced.
+
+    Spark drops them once the driver collects garbage; long jobs call this after
+    a large step, or every old shuffle would stay on disk meanwhile.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

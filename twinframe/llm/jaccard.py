@@ -13,9 +13,9 @@ prefix reaches) is ever counted and shuffled, not all shingles.
 
 Groups of copies are handled without all their pairs: equal word sequences are
 one class with one representative; in each posting list members are first
-compared with one pivot, the member whose tokens are the most common; and only
-pairs that are still in different components are then compared in full.  That
-loses no link that could join two components.
+compared with a few pivots a round; and only pairs that are then still in
+different components are compared in full.  That loses no link that could join
+two components.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, join_small, scramble
+from .common import WordHasher, cut, join_small, release, scramble
 
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D]
 
@@ -119,7 +119,8 @@ def prefixes(rows: DataFrame, order: int, share: float, percent: int) -> DataFra
 
     ``rows`` has ``doc, n, in<order>, out<order>``, one row a document.  Tokens
     that no other document has cannot match; they come first in the order and
-    are only counted.  ``common`` is the mean frequency of the shared tokens.
+    are only counted.  ``common`` is the share of counted tokens that others have
+    too; of a group of altered copies, the original has the largest.
     """
     below = counted_below(share)
     tokens = rows.select("doc", F.explode(F.concat(f"in{order}", f"out{order}")).alias("token"))
@@ -128,7 +129,6 @@ def prefixes(rows: DataFrame, order: int, share: float, percent: int) -> DataFra
     ranked = shared.groupBy("doc").agg(
         F.sort_array(F.collect_list(F.struct((F.col("token") >= below).alias("beyond"), "df", "token"))).alias("ranked"),
         F.count(F.when(F.col("token") < below, 1)).alias("shared_in"),
-        F.sum("df").alias("common"),
     )
     room = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1 - F.col("alone")
     return (
@@ -140,7 +140,7 @@ def prefixes(rows: DataFrame, order: int, share: float, percent: int) -> DataFra
         .select(
             "doc",
             "n",
-            (F.col("common") / F.size("ranked")).alias("common"),
+            (F.col("shared_in") / F.greatest(F.col("size_in"), F.lit(1))).alias("common"),
             F.transform(
                 F.concat(
                     F.slice(F.filter("ranked", lambda x: ~x["beyond"]), F.lit(1), F.greatest(F.col("room"), F.lit(0))),
@@ -155,17 +155,21 @@ def prefixes(rows: DataFrame, order: int, share: float, percent: int) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest id reachable) for every node of ``edges(a, b)``.
 
-    Each round hooks every node to its smallest neighbour, follows one more
-    pointer, and contracts the edges; rounds grow with the logarithm of the
-    longest path, and every round is cut.
+    Each round hooks every node to its smallest neighbour, follows pointers up to
+    the roots, and contracts the edges.  At least half of the nodes go in a round,
+    so rounds and jumps grow with the logarithm of the graph; each is cut.
     """
     left = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
     labels = cut(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node")))
     while left.take(1):
         both = left.union(left.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("y"))
-        up = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-        hook = cut(hook.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y")))
+        hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("y")))
+        while True:  # up to the roots; doubles the distance each time
+            up = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
+            jumped = cut(hook.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.coalesce(F.col("z") != F.col("y"), F.lit(False)).alias("moved")))
+            hook = jumped.select("x", "y")
+            if not jumped.where("moved").take(1):
+                break
         of = lambda name: hook.select(F.col("x").alias(name), F.col("y").alias(f"{name}_up"))
         left = cut(left.join(of("a"), "a").join(of("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).where("a <> b").distinct())
         labels = cut(labels.join(of("component"), "component", "left").select("node", F.coalesce("component_up", "component").alias("component")))
@@ -175,7 +179,12 @@ def components(edges: DataFrame) -> DataFrame:
 class JaccardJoin:
     """The join over one table; see :func:`near_duplicates` for the parts it leaves."""
 
-    def __init__(self, docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, ...] = (1.7, 3.4, 1.7)):
+    #: Longest prefix that posting lists carry along.
+    CARRIED = 48
+    #: Pivots of a posting list in one round.
+    PIVOTS = 3
+
+    def __init__(self, docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, ...] = (1.7, 7.0, 1.7)):
         self.k, self.percent = k, percent
         #: Parts of the tokens that the orders count, as multiples of the prefix's share.
         self.orders = [(o, min(1.0, s * (100 - percent) / 100)) for o, s in enumerate(shares)]
@@ -196,75 +205,130 @@ class JaccardJoin:
         self.reps = join_small(filled, copies, "row", "left_anti").select("doc", "n", "in0", "out0")
 
     def _candidates_ready(self) -> bool:
+        """Filters of every order for the documents that have a candidate under the first; False if none has."""
         o, share = self.orders[0]
-        self.postings = cut(prefixes(self.reps, o, share, self.percent).select("doc", "n", "common", F.explode("prefix").alias("token")))
-        self.pivots = cut(
-            self.postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("common", (-F.col("doc")).alias("back"), "n")).alias("top")).where("size > 1").select("token", F.col("top.n").alias("n_p"), (-F.col("top.back")).alias("pivot"))
-        )
-        # self.rows has served; what follows works on documents with a candidate
-        near = cut(self.postings.join(self.pivots.select("token"), "token", "left_semi").select("doc").distinct())
+        first = cut(prefixes(self.reps, o, share, self.percent).select("doc", F.col("prefix").alias("p0")))
+        release(self.docs.sparkSession)
+        tokens = first.select("doc", F.explode("p0").alias("token"))
+        met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
+        near = cut(tokens.join(met, "token", "left_semi").select("doc").distinct())
         if not near.take(1):
             return False
         sets = cut(shingle_rows(join_small(self.docs, near, "doc", "left_semi"), self.k, self.percent, self.orders[1:], whole=True))
         if sets.count() != near.count():  # repeated rows
             sets = cut(sets.dropDuplicates(["doc"]))
+        release(self.docs.sparkSession)
         self.sets = sets.select("doc", "n", "whole")
-        self.filters = None
+        filters = first
         for o, share in self.orders[1:]:
-            found = prefixes(sets, o, share, self.percent).select("doc", F.col("prefix").alias(f"p{o}"))
-            self.filters = found if self.filters is None else self.filters.join(found, "doc")
-        if self.filters is not None:
-            self.filters = cut(self.filters)
+            found = cut(prefixes(sets, o, share, self.percent))
+            filters = filters.join(found.select("doc", *(["n", "common"] if o == 1 else []), F.col("prefix").alias(f"p{o}")), "doc")
+            release(self.docs.sparkSession)
+        self.filters = cut(filters)
+        release(self.docs.sparkSession)
+        #: The second order counts most tokens, so its posting lists are the shortest.
+        self.postings = cut(self.filters.select("doc", "n", "common", F.explode("p1").alias("token")))
         return True
 
     def _close(self, a: str, b: str):
         return (F.lit(100) * F.least(a, b)) >= (F.lit(self.percent) * F.greatest(a, b))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` that share prefix tokens under every order and are similar."""
-        if self.filters is not None:
-            for side in ("a", "b"):
-                pairs = pairs.join(self.filters.select(F.col("doc").alias(side), *[F.col(f"p{o}").alias(f"{side}{o}") for o, _ in self.orders[1:]]), side)
-            for o, _ in self.orders[1:]:
-                pairs = pairs.where(F.arrays_overlap(f"a{o}", f"b{o}"))
-            pairs = cut(pairs.select("a", "b"))
+        """Those of the distinct pairs ``a, b`` that are similar, on the whole sets."""
         for side in ("a", "b"):
             pairs = pairs.join(self.sets.select(F.col("doc").alias(side), F.col("whole").alias(f"set_{side}")), side)
         both = F.size(F.array_intersect("set_a", "set_b"))
+        release(self.docs.sparkSession)
         return cut(
             pairs.select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either")).where(F.lit(100) * F.col("both") >= F.lit(self.percent) * F.col("either"))
         )
 
+    def _filtered(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that share prefix tokens under every order."""
+        names = [f"p{o}" for o, _ in self.orders]
+        for side in ("a", "b"):
+            pairs = pairs.join(self.filters.select(F.col("doc").alias(side), *[F.col(p).alias(f"{side}_{p}") for p in names]), side)
+        for p in names:
+            pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
+        return cut(pairs.select("a", "b"))
+
     def _pairs(self, postings: DataFrame, *unlike: str) -> DataFrame:
-        left, right = (postings.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", *unlike)]) for s in "ab")
-        joined = left.join(right, "token").where("doc_a < doc_b").where(self._close("n_a", "n_b"))
+        """Pairs of members of one posting list that every order lets pass, each pair once.
+
+        Members with a short prefix carry it, so that a pair of them is made only
+        at the smallest token that both have; what others repeat is made distinct.
+        """
+        short = F.when(F.size("p1") <= self.CARRIED, F.col("p1")).alias("p1")
+        rows = postings.select("token", "doc", *unlike).join(self.filters.select("doc", "n", short), "doc")
+        left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "p1", *unlike)]) for s in "ab")
+        condition = (left["token"] == right["token"]) & (F.col("doc_a") < F.col("doc_b")) & self._close("n_a", "n_b")
         for c in unlike:
-            joined = joined.where(F.col(f"{c}_a") != F.col(f"{c}_b"))
-        return joined.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+            condition = condition & (F.col(f"{c}_a") != F.col(f"{c}_b"))
+        condition = condition & F.coalesce(F.array_min(F.array_intersect("p1_a", "p1_b")) == left["token"], F.lit(True))
+        return self._filtered(cut(left.join(right, condition).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()))
 
     def links(self) -> DataFrame:
         """All links between class representatives: ``a, b, both, either`` (sizes of intersection and union)."""
         if not self._candidates_ready():
             return self.docs.sparkSession.createDataFrame([], "a bigint, b bigint, both int, either int")
-        return self._verified(self._pairs(self.postings.join(self.pivots.select("token"), "token", "left_semi")))
-
-    def representative_components(self) -> DataFrame | None:
-        """``node, component`` of representatives that have a link, or None if none has."""
+        return self._verified(self._pairs(self.postings))
+
+    def _mixed(self, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
+        """Postings of tokens whose members have different labels, their number, and
+        how many pairs of members with different labels they hold."""
+        rows = self.postings
+        if labels is None:
+            rows = rows.withColumn("label", F.col("doc"))
+        else:
+            rows = rows.join(labels, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "common", F.coalesce("component", "doc").alias("label"))
+        rows = cut(rows)
+        groups = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+        split = cut(
+            groups.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("labels > 1")
+        )
+        total = split.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("pairs")).first()
+        return cut(rows.join(split.select("token"), "token", "left_semi")), total["rows"] or 0, int(total["pairs"] or 0)
+
+    def representative_components(self, least_rounds: int = 1, rounds: int = 24, partners: int = 10) -> DataFrame | None:
+        """``node, component`` of representatives that have a link, or None if none has.
+
+        The members of a posting list meet ``PIVOTS`` pivots a round: the member that
+        shares the largest part of its tokens at first, others by a hash.  After
+        ``least_rounds`` this goes on while lists hold more than ``partners`` pairs
+        a row and a round still takes away a tenth of the pairs.  Rounds only save work, so their bounds
+        decide no result: the last step compares all that is left.
+        """
         if not self._candidates_ready():
             return None
-        stars = self.postings.join(self.pivots, "token").where(F.col("doc") != F.col("pivot")).where(self._close("n", "n_p"))
-        links = self._verified(cut(stars.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())).select("a", "b")
-        joined = components(links)
-        placed = cut(
-            self.postings.join(self.pivots.select("token"), "token", "left_semi")
-            .join(joined, F.col("doc") == F.col("node"), "left")
-            .select("token", "doc", "n", F.coalesce("component", "doc").alias("label"))
-        )
-        split = placed.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
-        rest = self._verified(cut(self._pairs(cut(placed.join(split, "token", "left_semi")), "label"))).select("a", "b")
-        if not rest.take(1):
-            return joined
-        return components(links.union(rest))
+        links, labels = None, None
+
+        def joined(found: DataFrame):
+            nonlocal links, labels
+            if found.take(1):
+                links = found if links is None else cut(links.union(found))
+                labels = components(links)
+
+        rows, size, pairs = self._mixed(labels)
+        for r in range(rounds):
+            if not size or r >= least_rounds and pairs <= partners * size:
+                break
+            ranks = [F.xxhash64(F.lit(r * self.PIVOTS + i), "doc").cast("double") for i in range(self.PIVOTS)]
+            if r == 0:
+                ranks[0] = F.col("common")
+            tops = rows.groupBy("token").agg(*[F.max(F.struct(x.alias("rank"), (-F.col("doc")).alias("back"), "n", "label")).alias(f"top{i}") for i, x in enumerate(ranks)])
+            each = F.array_distinct(F.array(*[F.struct((-F.col(f"top{i}.back")).alias("pivot"), F.col(f"top{i}.n").alias("n_p"), F.col(f"top{i}.label").alias("label_p")) for i in range(self.PIVOTS)]))
+            pivots = tops.select("token", F.inline(each))
+            stars = rows.join(pivots, "token").where((F.col("label") != F.col("label_p")) & self._close("n", "n_p"))
+            stars = cut(stars.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
+            joined(self._verified(self._filtered(stars)).select("a", "b"))
+            release(self.docs.sparkSession)
+            before = pairs
+            rows, size, pairs = self._mixed(labels)
+            if r >= least_rounds and pairs > 0.9 * before:
+                break
+        if size:
+            joined(self._verified(self._pairs(rows, "label")).select("a", "b"))
+        return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
