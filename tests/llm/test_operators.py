@@ -383,6 +383,60 @@ def test_licences(spark, docs, none):
     assert licenses.scan_licences(none).count() == 0
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, see <https://www.gnu.org/licenses/>.""",
+    "agpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published
+by the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU Affero General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "gpl": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+}
+
+
+def test_wrapped_licences(spark):
+    filler = [" ".join(f"word{(i * 7 + j) % 97}" for j in range(12)) for i in range(40)]
+    model = licenses.train(sorted([*filler, EN, FR]))
+    read = licenses.Paragraphs()
+    for before in ("", " * ", "# ", "// ", "-- "):
+        for family, text in WRAPPED.items():
+            lines = ["Copyright (c) 2020 Someone", "", *text.split("\n"), "", EN]
+            (n, hits), = model.scan(read, ["\n".join(before + x for x in lines)])
+            assert {h[1] for h in hits} == {family}, (before, family, hits)
+            assert min(h[0] for h in hits) == 2 and n == 3 + text.count("\n\n")
+    # inside other lines of the same paragraph, and two notices in one
+    (n, hits), = model.scan(read, [f"{EN}\n{EN}\n{WRAPPED['mit']}\n{EN}"])
+    assert n == 1 and [h[:2] for h in hits] == [(2, "mit")]
+    (n, hits), = model.scan(read, ["Released under the\nMIT License. Licensed under\nCC BY-SA 4.0."])
+    assert n == 1 and [h[:2] for h in hits] == [(0, "mit"), (1, "cc-by-sa")]
+    # a template's halves in two paragraphs, or in two texts, are no notice
+    one, two = "Permission to use, copy, modify, and/or distribute this software", "for any purpose with or without fee is hereby granted"
+    assert [h for _, h in model.scan(read, [f"{one}\n\n{two}", one, two])] == [[], [], []]
+
+
 def test_pieces(docs, none):
     P = pytest.importorskip("public_tokenizers")
     import sentencepiece

@@ -3,7 +3,9 @@
 Sparse word n-grams (one and two words, hashed) feed a multinomial logistic
 regression over licence families and an unknown class.  Probabilities are
 calibrated on paragraphs kept from training.  A prediction counts only if the
-paragraph also holds most of a template of that family.
+words also hold most of a template of that family.  Scored are the lines, and
+inside each paragraph (from blank line to blank line, so that a notice may be
+wrapped) the spans that hold most of a template.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ TEMPLATES: dict[str, list[str]] = {
     "agpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "This work is licensed under the GNU Affero General Public License, version 3.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "apache": [
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -58,6 +61,7 @@ TEMPLATES: dict[str, list[str]] = {
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ],
     "mit": [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
@@ -69,7 +73,8 @@ TEMPLATES: dict[str, list[str]] = {
 }
 UNKNOWN = "unknown"
 BITS = 16
-#: Words of a paragraph scored at a time, and the step between such segments.
+#: Words of a line scored at a time, and the step between such segments; also the
+#: most words that a notice inside a paragraph spreads over.
 SEGMENT, STEP = 48, 24
 #: Bound on corpus rows whose paragraphs teach the unknown class.
 FIT_ROWS = 1500
@@ -83,7 +88,7 @@ for _c in range(33, 128):
 
 
 class Paragraphs:
-    """Segments of a text's lines as hashed words."""
+    """Words of a text, hashed, with their lines, and segments of the lines."""
 
     def __init__(self):
         self.hasher = WordHasher()
@@ -97,6 +102,11 @@ class Paragraphs:
         if dot.any():
             after = np.concatenate([plain[1:], [32]])
             plain = np.where(dot & ~((after >= 48) & (after <= 57)), 32, plain).astype(np.uint8)
+        # and so does a hyphen, which else marks a comment ("-- " before each line) or a rule
+        dash = plain == 45
+        if dash.any():
+            inside = (plain > 32) & ~dash & (plain != 46)
+            plain = np.where(dash & ~(np.concatenate([[False], inside[:-1]]) & np.concatenate([inside[1:], [False]])), 32, plain).astype(np.uint8)
         hashes, starts, _ = self.hasher(plain.tobytes())
         return hashes, np.cumsum(raw == 10)[starts] if len(starts) else np.zeros(0, np.int64)
 
@@ -115,6 +125,11 @@ class Paragraphs:
         return hashes, begin, np.minimum(SEGMENT, first[own] + length[own] - begin), line[first[own]]
 
 
+def paragraph_starts(line: np.ndarray) -> np.ndarray:
+    """Whether each word begins a paragraph: between it and the last word is a line without words."""
+    return np.concatenate([[True], np.diff(line) > 1])[: len(line)]
+
+
 def pair_hashes(hashes: np.ndarray) -> np.ndarray:
     return scramble(hashes[:-1] * np.uint64(3) + hashes[1:] * np.uint64(0x9E3779B97F4A7C15))
 
@@ -131,6 +146,7 @@ class LicenceModel:
         self.heat = 1.0
         read = Paragraphs()
         self.templates = [(f, np.unique(pair_hashes(read.words(t)[0]))) for f, ts in sorted(TEMPLATES.items()) for t in ts]
+        self.template_pairs = np.unique(np.concatenate([t for _, t in self.templates]))
 
     def logits(self, hashes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Logits of segments from running sums of word and word-pair weights."""
@@ -154,17 +170,58 @@ class LicenceModel:
         pairs = np.unique(pair_hashes(hashes)) if len(hashes) > 1 else np.zeros(0, np.uint64)
         return max((len(np.intersect1d(pairs, t, assume_unique=True)) / len(t) for f, t in self.templates if f == family), default=0.0)
 
+    def spans(self, hashes: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, int]]:
+        """(first word, words) of the spans inside a paragraph that hold most of a template.
+
+        For every template and each of its pairs in the text, the distinct pairs
+        of the next ``SEGMENT`` words are counted.  Fuller spans come first,
+        then those of longer templates and shorter ones; spans that overlap a
+        better one are left out.
+        """
+        if len(hashes) < 2:
+            return []
+        pairs = pair_hashes(hashes)
+        near = np.flatnonzero(np.isin(pairs, self.template_pairs) & (paragraph[1:] == paragraph[:-1]))
+        found: list[tuple[float, int, int, int]] = []
+        for _, template in self.templates:
+            at = near[np.isin(pairs[near], template)]
+            end = np.minimum(np.searchsorted(at, at + SEGMENT - 1), np.searchsorted(paragraph[at], paragraph[at], side="right"))
+            for i in np.flatnonzero(end - np.arange(len(at)) >= LEAST_TEMPLATE * len(template)):
+                own = at[i : end[i]]
+                _, where = np.unique(pairs[own], return_index=True)
+                if len(where) >= LEAST_TEMPLATE * len(template):
+                    found.append((-len(where) / len(template), -len(template), int(own[where.max()] - own[0]) + 2, int(own[0])))
+        taken = np.zeros(len(hashes), dtype=bool)
+        out = []
+        for _, _, length, first in sorted(found):
+            if not taken[first : first + length].any():
+                taken[first : first + length] = True
+                out.append((first, length))
+        return out
+
     def scan(self, read: Paragraphs, texts: list[str]) -> list[tuple[int, list[tuple[int, str, float, float]]]]:
-        """For each text its number of lines with a word, and (line, family, probability, template share) found."""
+        """For each text its number of paragraphs, and (first line, family, probability, template share) found."""
         parts = [read.segments(t) for t in texts]
         base = np.cumsum([0, *(len(p[0]) for p in parts)])
         hashes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
         first = np.concatenate([p[1] + b for p, b in zip(parts, base)])
         length, line = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
         which = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
-        out: list[tuple[int, list]] = [(len(np.unique(p[3])), []) for p in parts]
+        # segments are in order, so their lines are all lines with a word
+        out: list[tuple[int, list]] = [(int(paragraph_starts(p[3]).sum()), []) for p in parts]
         if not len(first):
             return out
+        paragraph = np.zeros(len(hashes), dtype=np.int64)
+        starts = np.concatenate([paragraph_starts(p[3]) for p in parts])
+        paragraph[first[starts]] = 1
+        paragraph = np.cumsum(paragraph)
+        inside = self.spans(hashes, paragraph)
+        if inside:
+            begin, size = (np.array(x, dtype=np.int64) for x in zip(*inside))
+            # the segment in which a span begins tells its text and line
+            home = np.searchsorted(first, begin, side="right") - 1
+            first, length = np.concatenate([first, begin]), np.concatenate([length, size])
+            which, line = np.concatenate([which, which[home]]), np.concatenate([line, line[home]])
         p = self.probabilities(self.logits(hashes, first, length))
         best = p.argmax(axis=1)
         hits: dict[tuple[int, int, str], tuple[float, float]] = {}
@@ -259,11 +316,12 @@ def fit(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS, fit_b
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """One row a document: ``doc_id, n_paragraphs, licences, score, found``.
 
-    A paragraph is a line with a word.  ``found`` lists the confirmed
-    paragraphs (line from 0, family, calibrated probability, share of the
-    template); ``licences`` names their families in order, joined by commas
+    A paragraph runs from one line without a word to the next.  ``found`` lists
+    the confirmed notices (first line from 0, family, calibrated probability,
+    share of the template); a notice may be wrapped over lines of a paragraph
+    and is looked for in each line by itself as well.  ``licences`` names their families in order, joined by commas
     (empty if none) and ``score`` is the largest probability (0 if none).  Null
-    and empty texts have no paragraph; long paragraphs are scored in overlapping
+    and empty texts have no paragraph; long lines are scored in overlapping
     segments; repeated rows give repeated results; an empty table gives an empty
     result; extra columns are ignored.
     """
