@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small fixture with nulls,
 empty and long texts, ties, repeated rows and columns with clashing names."""
 
+import base64
 import collections
 import hashlib
 import re
@@ -145,6 +146,20 @@ def test_language_id(docs, none):
     assert not kept & {103, 104, 105, 108} and set(range(60)) <= kept
 
 
+def test_language_floor(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = []
+    for n in (400, 3000):
+        raw = base64.b64encode(rng.bytes(n)).decode()
+        noise += [" ".join(raw[i : i + 20] for i in range(0, len(raw), 20)), raw]
+        noise.append(" ".join(rng.bytes(8).hex() for _ in range(n // 8)))
+        noise.append(" ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(n // 6)))
+    rows = [r[:3] for r in ROWS[:60]] + [(500 + i, t, None) for i, t in enumerate(noise)]
+    kept = {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert kept == set(range(60))
+
+
 def test_language_grams_brute_force():
     text = "Ab, bà! x"
     spaced = " ab bà x "

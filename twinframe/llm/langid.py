@@ -173,13 +173,31 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict_language(rows, profiles, keep=("doc_id", "held_out"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.05) -> DataFrame:
+def score_floor(labelled: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, seed: int = 6) -> float:
+    """The least score that counts as a language: half the median of labelled rows, of the language where that is least.
+
+    About ``fit_rows`` labelled rows for each profile are scored, chosen by a
+    hash of id and text.  A median holds with some noise among the labelled
+    rows; text that is no language scores a third of it at most, unless very short.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    share = fit_rows * len(profiles.languages) / max(1, rows.count())
+    sample = rows.where(unit_hash(F.col(id_col), F.col(text_col).cast("string"), seed=seed) < min(1.0, share)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    scores: dict[str, list[float]] = {}
+    for r in predict_language(sample, profiles, keep=("lang",)).where(F.col("lang_pred") != UNKNOWN).select("lang", "score").collect():
+        scores.setdefault(r["lang"], []).append(r["score"])
+    return min((float(np.median(x)) / 2 for x in scores.values()), default=0.0)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with all their columns.
 
     Rejected are documents without a letter and those that are nearer to no
-    profile than ``min_score`` (next to no n-gram in place).
+    profile than ``min_score`` (:func:`score_floor` of the labelled rows, if
+    not given): encoded data, random letters, scripts without a profile.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).cast("string").alias("text"))
     profiles = fit_profiles(docs, lang_col, text_col)
+    floor = score_floor(docs, profiles, id_col, text_col, lang_col) if min_score is None else min_score
     found = predict_language(rows, profiles, keep=("doc",))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("doc.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)).select("doc.*")
