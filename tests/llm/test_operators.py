@@ -331,6 +331,20 @@ def test_quality_depleted(spark):
     assert clean[0] == "own0 text0" and clean[51] == shared
 
 
+def test_quality_lines_removed(spark):
+    shared = " ".join(f"menu{i}" for i in range(8))
+    own = [" ".join(f"z{i}x{j}" for j in range(40)) for i in range(14)]
+    rows = [(i, f"{own[i]}\n\n {shared.upper()}  \nend of é{i}", "h", 0) for i in range(12)] + [(12, f"{own[12]}\n{shared}", "other", 7), (13, own[13], "h", 7), (0, f"{own[0]}\n\n {shared.upper()}  \nend of é0", "h", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int")
+    kept = quality.keep_good(df)
+    assert kept.schema["n_chars"].dataType == df.schema["n_chars"].dataType and kept.columns == df.columns
+    got = collections.Counter((r["doc_id"], r["text"], r["n_chars"]) for r in kept.collect())
+    want = [(i, t := f"{own[i]}\n\nend of é{i}", len(t)) for i in [*range(12), 0]] + [(12, rows[12][1], 7), (13, own[13], 7)]
+    assert got == collections.Counter(want)
+    clean = collections.Counter((r["doc_id"], r["text"]) for r in quality.without_frequent_lines(df).collect())
+    assert clean == collections.Counter((i, t) for i, t, _ in want)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((900, 16))

@@ -79,24 +79,37 @@ def depleted(
     of its host have; rows with less than ``min_left`` of their words left are
     returned.  Documents are told apart by text, so exact copies count once.
     """
+    lines = host_lines(docs, text_col, host_col)
+    frequent = frequent_lines(lines, max_docs)
+    return cut(
+        join_small(lines, frequent, "line", "left")
+        .groupBy("page")
+        .agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("frequent"), F.col("words")).otherwise(0)).alias("gone"))
+        .where(F.col("gone") > (1.0 - min_left) * F.col("all_words"))
+        .select("page", (F.col("gone") / F.col("all_words")).alias("lost"))
+    )
+
+
+def plain_line(raw: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(raw, f"{SPACE_CLASS}+", " ")))
+
+
+def host_lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """``page, line, words`` of every line with a word; ``line`` is the hash of host and normalised line."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = lambda x: F.lower(F.trim(F.regexp_replace(x, f"{SPACE_CLASS}+", " ")))
-    lines = (
+    return (
         docs.select(null_safe_key(host_col).alias("host"), page_key(text_col, host_col).alias("page"), text.alias("t"))
         .select("host", "page", F.explode(F.split("t", "\n")).alias("raw"))
-        .withColumn("line", plain(F.col("raw")))
+        .withColumn("line", plain_line(F.col("raw")))
         .where("line <> ''")
         .select("page", F.xxhash64("host", "line").alias("line"), F.regexp_count("line", F.lit("[^ ]+")).cast("long").alias("words"))
     )
-    frequent = cut(
-        lines.select("line", "page").distinct().groupBy("line").count().where(F.col("count") > max_docs).select("line", F.lit(True).alias("frequent"))
-    )
+
+
+def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
+    """``line, frequent`` of the lines in more than ``max_docs`` distinct documents (cut)."""
     return cut(
-        join_small(lines, frequent, "line", "left")
-        .groupBy("page")
-        .agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("frequent"), F.col("words")).otherwise(0)).alias("gone"))
-        .where(F.col("gone") > (1.0 - min_left) * F.col("all_words"))
-        .select("page", (F.col("gone") / F.col("all_words")).alias("lost"))
+        lines.select("line", "page").distinct().groupBy("line").count().where(F.col("count") > max_docs).select("line", F.lit(True).alias("frequent"))
     )
 
 
@@ -137,15 +150,37 @@ def quality_rules(
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_left: float = 1 / 3) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; lines stay as they are."""
+def keep_good(
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_left: float = 1 / 3, chars_col: str = "n_chars"
+) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, without their frequent lines.
+
+    ``chars_col``, where there is such a column, is the length of the text that
+    is left; rows without a frequent line stay as they are.
+    """
     page = page_key(text_col, host_col)
     # cut before the filter: pushed below, it would compute the figures' arrays many times
-    figures = cut(base_figures(docs.select(page.alias("page"), F.col(text_col).cast("string").alias("text")), F.col("text")).select("page", "base_failed"))
-    worn = depleted(docs, text_col, host_col, max_docs, min_left).select("page")
-    bad = cut(figures.where("base_failed").select("page").union(worn).distinct())
+    figures = cut(base_figures(docs.select(page.alias("page"), F.col(text_col).cast("string").alias("text")), F.col("text")).select("page", "base_failed", "n_words"))
+    lines = host_lines(docs, text_col, host_col)
+    worn = cut(
+        join_small(lines, frequent_lines(lines, max_docs), "line").groupBy("page").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("gone_lines"))
+    )
+    # copies of a page count on both sides of the share alike
+    pages = figures.groupBy("page").agg(F.bool_or("base_failed").alias("base_failed"), F.sum("n_words").alias("all_words"))
+    bad = F.col("base_failed") | F.coalesce(F.col("gone") > (1.0 - min_left) * F.col("all_words"), F.lit(False))
+    marks = cut(join_small(pages, worn, "page", "left").where(F.col("base_failed") | F.col("gone").isNotNull()).select("page", bad.alias("bad"), "gone_lines"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), page.alias("page"))
-    return join_small(whole, bad, "page", "left_anti").select("doc.*")
+    kept = join_small(whole, marks, "page", "left").where(~F.coalesce(F.col("bad"), F.lit(False)))
+    text, host = F.col("doc")[text_col], null_safe_key(F.col("doc")[host_col])
+    left = F.filter(F.split(text.cast("string"), "\n"), lambda x: ~F.array_contains(F.col("gone_lines"), F.xxhash64(host, plain_line(x))))
+    kept = kept.withColumn("left", F.when(F.col("gone_lines").isNotNull(), F.array_join(left, "\n")))
+    new = {text_col: F.col("left"), chars_col: F.length("left")}
+    return kept.select(
+        *[
+            F.when(F.col("left").isNotNull(), new[c].cast(docs.schema[c].dataType)).otherwise(F.col("doc")[c]).alias(c) if c in new else F.col("doc")[c].alias(c)
+            for c in docs.columns
+        ]
+    )
 
 
 def without_frequent_lines(
