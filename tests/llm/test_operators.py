@@ -331,6 +331,13 @@ def test_quality_depleted(spark):
     assert clean[0] == "own0 text0" and clean[51] == shared
 
 
+def test_quality_exact_copies(spark):
+    text = "\n".join(" ".join(f"p{i}q{j}" for j in range(10)) for i in range(4))
+    df = spark.createDataFrame([(i, text, "h") for i in range(14)], "doc_id bigint, text string, source string")
+    rows = quality.quality_rules(df, max_docs=10).collect()
+    assert len(rows) == 14 and all(r["kept"] and r["lost"] is None for r in rows)
+
+
 def test_quality_lines_removed(spark):
     shared = " ".join(f"menu{i}" for i in range(8))
     own = [" ".join(f"z{i}x{j}" for j in range(40)) for i in range(14)]
