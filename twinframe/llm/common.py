@@ -5,13 +5,17 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Largest small side, in rows, that is broadcast; larger ones are joined by key.
-BROADCAST_ROWS = 50_000
+#: Largest small side, in bytes of its values, that is broadcast; larger ones are joined by key.
+BROADCAST_BYTES = 8 << 20
 
 #: A word is a run of characters other than these six.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -23,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; set one only where none is named."""
+    """Use the folder the cluster names; make one only where none is named and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -49,17 +55,45 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values of ``df``: 16 for each of fixed width, else what they hold."""
+
+    def width(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.lit(16) + F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(kind, StructType):
+            return reduce(add, [width(c[f.name], f.dataType) for f in kind], F.lit(16))
+        if isinstance(kind, (ArrayType, MapType)):
+            return F.lit(16) + F.lit(32) * F.greatest(F.size(c), F.lit(0))
+        return F.lit(16)
+
+    each = reduce(add, [width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(16))
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a side that is broadcast only if a count shows it to be small.
+    """Join with a side that is broadcast only if its measured bytes show it to be small.
 
-    ``small`` should be cheap to count (a cut).  Past the bound it is an
+    ``small`` should be cheap to read (a cut).  Past the bound it is an
     ordinary shuffled join, whose skewed partitions AQE splits.
     """
-    if small.count() <= BROADCAST_ROWS:
+    if value_bytes(small) <= BROADCAST_BYTES:
         small = F.broadcast(small)
     return big.join(small, on, how)
 
 
+def shared_model(spark: SparkSession, model):
+    """A broadcast of a fitted model by value: workers need not have this package.  Read it with ``received``.
+
+    Models are fixed in size by their parameters.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(shared):
+    return cloudpickle.loads(shared.value)
+
+
 def null_safe_key(column: str | Column) -> Column:
     """A string that is never null and distinguishes null from every value."""
     c = F.col(column) if isinstance(column, str) else column

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, scramble, unit_hash
+from .common import WordHasher, received, scramble, shared_model, unit_hash
 
 # Short licence notices as their publishers word them.
 TEMPLATES: dict[str, list[str]] = {
@@ -328,11 +328,11 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = model or fit(docs, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed in size by its parameters
+    shared = shared_model(docs.sparkSession, model)
     spans = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("template_share", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, read = shared.value, Paragraphs()
+        own, read = received(shared), Paragraphs()
         for large in batches:
             for at in range(0, large.num_rows, 200):
                 batch = large.slice(at, 200)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, unit_hash
+from .common import WordHasher, received, shared_model, unit_hash
 from .langid import held_out
 
 #: Words in a window, and from one window's start to the next.
@@ -419,10 +419,10 @@ def score_documents(docs: DataFrame, net: Network, text_col: str = "text", keep:
     """The columns in ``keep`` with ``score`` and ``predicted`` (1 from ``threshold`` on)."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("_text"))
     schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # fixed in size by its parameters
+    shared = shared_model(docs.sparkSession, net)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value, Words(WordHasher())
+        model, words = received(shared), Words(WordHasher())
         for large in batches:
             for at in range(0, large.num_rows, 2000):
                 batch = large.slice(at, 2000)
