@@ -3,7 +3,9 @@
 Base figures come from each text alone.  The method's verdict: lines are
 normalised and hashed, distinct documents are counted for every line and host,
 lines in more documents than allowed are removed, and documents left with too
-little of their words are rejected.
+little of their words are rejected.  A line may be in ``max_docs`` documents of
+its host, or in the share ``max_share`` of the host's documents if that is more,
+so a growing host does not turn ever more of its lines into boilerplate.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from .common import SPACE_CLASS, WORD_PATTERN, cut, join_small, null_safe_key
 
 #: Words in a window whose repetition inside one text counts.
 WINDOW = 8
+#: Documents of its host that a line may be in, as a number and as a share of the host's rows.
+MAX_DOCS, MAX_SHARE = 10, 0.01
+#: Share of its words that a document must keep.
+MIN_LEFT = 1 / 3
 
 
 def base_figures(docs: DataFrame, text: Column) -> DataFrame:
@@ -69,52 +75,41 @@ def base_figures(docs: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def depleted(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_left: float = 1 / 3
-) -> DataFrame:
-    """Texts that lose too much when frequent lines go: rows ``page, lost`` (cut).
+def plain_line(raw: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(raw, f"{SPACE_CLASS}+", " ")))
 
-    ``page`` is the hash of host and text (see :func:`page_key`), ``lost`` the
-    share of its words in lines that more than ``max_docs`` distinct documents
-    of its host have; rows with less than ``min_left`` of their words left are
-    returned.  Documents are told apart by text, so exact copies count once.
-    """
-    lines = host_lines(docs, text_col, host_col)
-    frequent = frequent_lines(lines, max_docs)
-    return cut(
-        join_small(lines, frequent, "line", "left")
-        .groupBy("page")
-        .agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("frequent"), F.col("words")).otherwise(0)).alias("gone"))
-        .where(F.col("gone") > (1.0 - min_left) * F.col("all_words"))
-        .select("page", (F.col("gone") / F.col("all_words")).alias("lost"))
-    )
 
+def page_key(text_col: str = "text", host_col: str = "source") -> Column:
+    return F.xxhash64(null_safe_key(host_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
-def plain_line(raw: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(raw, f"{SPACE_CLASS}+", " ")))
+
+def document_key(id_col: str | None, text_col: str, host_col: str) -> Column:
+    """What counts as one document of a host: the id, or host and text where there is none or copies count once."""
+    page = page_key(text_col, host_col)
+    return page if id_col is None else F.when(F.col(id_col).isNull(), page).otherwise(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)))
 
 
-def host_lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """``page, line, words`` of every line with a word; ``line`` is the hash of host and normalised line."""
+def host_lines(docs: DataFrame, id_col: str | None, text_col: str, host_col: str) -> DataFrame:
+    """``host, page, doc, line, words`` of every line with a word; ``line`` is the hash of host and normalised line."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return (
-        docs.select(null_safe_key(host_col).alias("host"), page_key(text_col, host_col).alias("page"), text.alias("t"))
-        .select("host", "page", F.explode(F.split("t", "\n")).alias("raw"))
+        docs.select(null_safe_key(host_col).alias("host"), page_key(text_col, host_col).alias("page"), document_key(id_col, text_col, host_col).alias("doc"), text.alias("t"))
+        .select("host", "page", "doc", F.explode(F.split("t", "\n")).alias("raw"))
         .withColumn("line", plain_line(F.col("raw")))
         .where("line <> ''")
-        .select("page", F.xxhash64("host", "line").alias("line"), F.regexp_count("line", F.lit("[^ ]+")).cast("long").alias("words"))
+        .select(F.xxhash64("host").alias("host"), "page", "doc", F.xxhash64("host", "line").alias("line"), F.regexp_count("line", F.lit("[^ ]+")).cast("long").alias("words"))
     )
 
 
-def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """``line, frequent`` of the lines in more than ``max_docs`` distinct documents (cut)."""
-    return cut(
-        lines.select("line", "page").distinct().groupBy("line").count().where(F.col("count") > max_docs).select("line", F.lit(True).alias("frequent"))
-    )
-
+def frequent_lines(lines: DataFrame, docs: DataFrame, host_col: str, max_docs: int, max_share: float) -> DataFrame:
+    """``host, line, frequent`` of the lines in more distinct documents than their host allows (cut).
 
-def page_key(text_col: str = "text", host_col: str = "source") -> Column:
-    return F.xxhash64(null_safe_key(host_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    A host has at most ``1 / max_share`` times the lines of a mean document of them.
+    """
+    # sums for each line, over one row a document at most, before any limit is looked up
+    often = lines.select("host", "line", "doc").distinct().groupBy("host", "line").count().where(F.col("count") > max_docs)
+    hosts = cut(docs.groupBy(F.xxhash64(null_safe_key(host_col)).alias("host")).agg(F.count(F.lit(1)).alias("rows")))
+    return cut(join_small(often, hosts, "host").where(F.col("count") > F.lit(float(max_share)) * F.col("rows")).select("host", "line", F.lit(True).alias("frequent")))
 
 
 def quality_rules(
@@ -122,21 +117,33 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    max_docs: int = 10,
-    min_left: float = 1 / 3,
+    max_docs: int = MAX_DOCS,
+    min_left: float = MIN_LEFT,
+    max_share: float = MAX_SHARE,
+    copies_once: bool = False,
 ) -> DataFrame:
     """Per document: ``doc_id``, the base figures, ``lost`` and ``kept``.
 
-    Null and empty texts have no words, so they fail the base rule.  A null
-    host is a host of its own.  Repeated rows get equal verdicts.  Very long
-    texts are taken whole.  An empty table gives an empty result; extra columns
-    are ignored.
+    ``lost`` is the share of a document's words in frequent lines where that
+    leaves less than ``min_left`` of them, else null.  Documents are told apart
+    by id (by text where the id is null, or everywhere with ``copies_once``,
+    which a near-copy stage after it may want).  Null and empty texts have no
+    words, so they fail the base rule.  A null host is a host of its own.
+    Repeated rows get equal verdicts and are one document; a line just at its
+    limit stays.  Very long texts are taken whole.  An empty table gives an
+    empty result; extra columns are ignored, whatever their names.
     """
-    named = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), page_key(text_col, host_col).alias("page")
-    )
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).alias("source"))
+    named = slim.select("doc_id", "text", page_key().alias("page"))
     figures = base_figures(named, F.col("text")).drop("text")
-    worn = depleted(docs, text_col, host_col, max_docs, min_left)
+    lines = host_lines(slim, None if copies_once else "doc_id", "text", "source")
+    worn = cut(
+        join_small(lines, frequent_lines(lines, slim, "source", max_docs, max_share).drop("host"), "line", "left")
+        .groupBy("page")
+        .agg(F.sum("words").alias("all_words"), F.sum(F.when(F.col("frequent"), F.col("words")).otherwise(0)).alias("gone"))
+        .where(F.col("gone") > (1.0 - min_left) * F.col("all_words"))
+        .select("page", (F.col("gone") / F.col("all_words")).alias("lost"))
+    )
     return join_small(figures, worn, "page", "left").select(
         "doc_id",
         "n_words",
@@ -151,29 +158,29 @@ def quality_rules(
 
 
 def keep_good(
-    docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_left: float = 1 / 3, chars_col: str = "n_chars"
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs: int = MAX_DOCS,
+    min_left: float = MIN_LEFT,
+    max_share: float = MAX_SHARE,
+    copies_once: bool = False,
+    chars_col: str = "n_chars",
 ) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns, without their frequent lines.
 
     ``chars_col``, where there is such a column, is the length of the text that
-    is left; rows without a frequent line stay as they are.
+    is left; rows without a frequent line stay as they are.  All cases of
+    :func:`quality_rules` hold here too.
     """
-    page = page_key(text_col, host_col)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).alias("source"))
     # cut before the filter: pushed below, it would compute the figures' arrays many times
-    figures = cut(base_figures(docs.select(page.alias("page"), F.col(text_col).cast("string").alias("text")), F.col("text")).select("page", "base_failed", "n_words"))
-    lines = host_lines(docs, text_col, host_col)
-    worn = cut(
-        join_small(lines, frequent_lines(lines, max_docs), "line").groupBy("page").agg(F.sum("words").alias("gone"), F.collect_set("line").alias("gone_lines"))
-    )
-    # copies of a page count on both sides of the share alike
-    pages = figures.groupBy("page").agg(F.bool_or("base_failed").alias("base_failed"), F.sum("n_words").alias("all_words"))
-    bad = F.col("base_failed") | F.coalesce(F.col("gone") > (1.0 - min_left) * F.col("all_words"), F.lit(False))
-    marks = cut(join_small(pages, worn, "page", "left").where(F.col("base_failed") | F.col("gone").isNotNull()).select("page", bad.alias("bad"), "gone_lines"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), page.alias("page"))
-    kept = join_small(whole, marks, "page", "left").where(~F.coalesce(F.col("bad"), F.lit(False)))
-    text, host = F.col("doc")[text_col], null_safe_key(F.col("doc")[host_col])
-    left = F.filter(F.split(text.cast("string"), "\n"), lambda x: ~F.array_contains(F.col("gone_lines"), F.xxhash64(host, plain_line(x))))
-    kept = kept.withColumn("left", F.when(F.col("gone_lines").isNotNull(), F.array_join(left, "\n")))
+    figures = cut(base_figures(slim.select(page_key().alias("page"), "text"), F.col("text")).select("page", "base_failed"))
+    bad = cut(figures.where("base_failed").select("page").distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), page_key(text_col, host_col).alias("page"), _host(host_col).alias("host"))
+    kept = _marked(join_small(whole, bad, "page", "left_anti"), slim, F.col("doc")[text_col], max_docs, max_share, copies_once)
+    kept = kept.where(~F.coalesce(_gone_words("marked") > (1.0 - min_left) * _all_words("marked"), F.lit(False))).withColumn("left", _left("marked"))
     new = {text_col: F.col("left"), chars_col: F.length("left")}
     return kept.select(
         *[
@@ -183,15 +190,45 @@ def keep_good(
     )
 
 
+def _host(host_col: str) -> Column:
+    return F.xxhash64(null_safe_key(host_col))
+
+
+def _marked(rows: DataFrame, slim: DataFrame, text: Column, max_docs: int, max_share: float, copies_once: bool) -> DataFrame:
+    """``rows`` (with ``host``) and ``marked``: their lines with ``raw, gone, words``, null where the host has no frequent line.
+
+    The lines of a host come to its documents; texts are not shuffled while they fit a broadcast.
+    """
+    lines = host_lines(slim, None if copies_once else "doc_id", "text", "source")
+    frequent = frequent_lines(lines, slim, "source", max_docs, max_share).groupBy("host").agg(F.collect_list("line").alias("frequent"))
+    key = lambda plain: F.xxhash64(F.col("host_key"), plain)
+    each = lambda x: F.struct(x.alias("raw"), F.array_contains("frequent", key(plain_line(x))).alias("gone"), F.coalesce(F.regexp_count(x, F.lit(WORD_PATTERN)), F.lit(0)).alias("words"))
+    named = slim.select(_host("source").alias("host"), null_safe_key("source").alias("host_key")).distinct()
+    hosts = cut(frequent.join(named, "host"))
+    return join_small(rows, hosts, "host", "left").withColumn("marked", F.when(F.col("frequent").isNotNull(), F.transform(F.split(text.cast("string"), "\n"), each)))
+
+
+def _gone_words(marked: str) -> Column:
+    return F.aggregate(marked, F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["gone"], x["words"]).otherwise(0))
+
+
+def _all_words(marked: str) -> Column:
+    return F.aggregate(marked, F.lit(0).cast("bigint"), lambda a, x: a + x["words"])
+
+
+def _left(marked: str) -> Column:
+    """The text without its frequent lines; null if it has none."""
+    return F.when(F.exists(marked, lambda x: x["gone"]), F.array_join(F.transform(F.filter(marked, lambda x: ~x["gone"]), lambda x: x["raw"]), "\n"))
+
+
 def without_frequent_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, copies_once: bool = False
 ) -> DataFrame:
-    """``doc_id, text`` with every frequent line removed (line order kept)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.xxhash64(F.monotonically_increasing_id(), F.col(id_col))
-    plain = F.lower(F.trim(F.regexp_replace("raw", f"{SPACE_CLASS}+", " ")))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), null_safe_key(host_col).alias("host"), page_key(text_col, host_col).alias("page"), key.alias("row")))
-    lines = rows.select("doc_id", "row", "host", "page", F.posexplode(F.split("t", "\n")).alias("at", "raw")).withColumn("line", F.xxhash64("host", plain)).withColumn("blank", plain == "")
-    frequent = cut(lines.where(~F.col("blank")).select("line", "page").distinct().groupBy("line").count().where(F.col("count") > max_docs).select("line"))
-    left = join_small(lines, frequent, "line", "left_anti").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("l"))
-    return rows.select("doc_id", "row").join(left, "row", "left").select("doc_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["raw"]), "\n"), F.lit("")).alias("text"))
+    """``doc_id, text`` of every row with its frequent lines removed (line order kept).
+
+    Null texts become empty; repeated rows stay repeated; empty tables, long
+    texts and clashing columns are as in :func:`quality_rules`.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).alias("source"))
+    rows = _marked(slim.select("doc_id", "text", _host("source").alias("host")), slim, F.col("text"), max_docs, max_share, copies_once)
+    return rows.select("doc_id", F.coalesce(_left("marked"), F.col("text")).alias("text"))
