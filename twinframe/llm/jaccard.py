@@ -9,7 +9,9 @@ whole sets.
 Each order ranks a hash-chosen part of all tokens by document frequency, rarest
 first, and the remaining tokens after them by hash; another hash gives another
 order.  Only that part (and, for small sets, the few tokens beyond it that the
-prefix reaches) is ever counted and shuffled, not all shingles.
+prefix reaches) is ever counted and shuffled, not all shingles.  At the first
+token that two sets share, the number of tokens from there on bounds what they
+can share at all; that bound and the other orders are part of the join.
 
 Groups of copies are handled without all their pairs: equal word sequences are
 one class with one representative; in each posting list members are first
@@ -87,17 +89,17 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def shingle_rows(docs: DataFrame, k: int, percent: int, orders: list[tuple[int, float]], whole: bool) -> DataFrame:
-    """From ``doc, text``: ``doc, n, k1, k2``, two token lists an order, and the whole set on request."""
-    schema = "doc bigint, n bigint, k1 bigint, k2 bigint" + "".join(f", in{o} array<bigint>, out{o} array<bigint>" for o, _ in orders) + (", whole array<bigint>" if whole else "")
+def shingle_rows(docs: DataFrame, k: int, percent: int, orders: list[tuple[int, float]], carry: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """From bigints ``carry`` and ``text``: ``carry, n, k1, k2`` and two token lists an order."""
+    schema = ", ".join(f"{c} bigint" for c in (*carry, "n", "k1", "k2")) + "".join(f", in{o} array<bigint>, out{o} array<bigint>" for o, _ in orders)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets(k)
         for large in batches:
             for batch in _slices(large, 1000):
-                n, k1, k2, lists, full = [], [], [], [[] for _ in range(2 * len(orders))], []
-                for text in batch.column(1):
+                n, k1, k2, lists = [], [], [], [[] for _ in range(2 * len(orders))]
+                for text in batch.column(len(carry)):
                     tokens, a, b = sets(text.as_py())
                     n.append(len(tokens))
                     k1.append(a)
@@ -106,40 +108,41 @@ def shingle_rows(docs: DataFrame, k: int, percent: int, orders: list[tuple[int,
                         inside, outside = ordered_tokens(tokens, o, share, percent)
                         lists[2 * i].append(inside)
                         lists[2 * i + 1].append(outside)
-                    if whole:
-                        full.append(tokens.view(np.int64))
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *map(_list, lists)]
-                yield pa.RecordBatch.from_arrays(columns + ([_list(full)] if whole else []), names=names)
+                columns = [*batch.columns[: len(carry)], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *map(_list, lists)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.select(*carry, "text").mapInArrow(work, schema)
 
 
 def prefixes(rows: DataFrame, order: int, share: float, percent: int) -> DataFrame:
-    """Documents with the shared tokens of their prefix: ``doc, n, common, prefix``.
-
-    ``rows`` has ``doc, n, in<order>, out<order>``, one row a document.  Tokens
-    that no other document has cannot match; they come first in the order and
-    are only counted.  ``common`` is the share of counted tokens that others have
-    too; of a group of altered copies, the original has the largest.
+    """Nodes with the shared tokens of their prefix: ``node, n, alone, common, prefix``.
+
+    ``rows`` has ``node, n, in<order>, out<order>``, one row a node.  Tokens that
+    no other node has cannot match; they come first in the order and are only
+    counted (``alone``), so the first token of ``prefix`` stands at that place
+    of the whole order, the next one behind it, and so on (those beyond the
+    counted part may stand later).  ``common`` is the share of counted tokens that others
+    have too; of a group of altered copies, the original has the largest.
     """
     below = counted_below(share)
-    tokens = rows.select("doc", F.explode(F.concat(f"in{order}", f"out{order}")).alias("token"))
+    tokens = rows.select("node", F.explode(F.concat(f"in{order}", f"out{order}")).alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = tokens.join(counts.hint("shuffle_hash"), "token")
-    ranked = shared.groupBy("doc").agg(
+    ranked = shared.groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct((F.col("token") >= below).alias("beyond"), "df", "token"))).alias("ranked"),
         F.count(F.when(F.col("token") < below, 1)).alias("shared_in"),
     )
     room = F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1 - F.col("alone")
     return (
-        rows.select("doc", "n", F.size(f"in{order}").alias("size_in"))
-        .join(ranked, "doc")
+        rows.select("node", "n", F.size(f"in{order}").alias("size_in"))
+        .join(ranked, "node")
         .withColumn("alone", F.col("size_in") - F.col("shared_in"))
         .withColumn("room", room.cast("int"))
         .where("room > 0")
         .select(
-            "doc",
+            "node",
             "n",
+            "alone",
             (F.col("shared_in") / F.greatest(F.col("size_in"), F.lit(1))).alias("common"),
             F.transform(
                 F.concat(
@@ -155,88 +158,113 @@ def prefixes(rows: DataFrame, order: int, share: float, percent: int) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest id reachable) for every node of ``edges(a, b)``.
 
-    Each round hooks every node to its smallest neighbour, follows pointers up to
-    the roots, and contracts the edges.  At least half of the nodes go in a round,
-    so rounds and jumps grow with the logarithm of the graph; each is cut.
+    Alternating stars: every node ties its larger neighbours to its smallest
+    one, then its smaller neighbours and itself to the smallest of them, until
+    each component is one star.  Rounds grow with the logarithm of the longest
+    path; each is one cut.  Minima are aggregated before the shuffle, and the
+    joins back are such that AQE can split a hub's neighbours.
     """
-    left = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
-    labels = cut(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("component", F.col("node")))
-    while left.take(1):
+    low, high = F.least("a", "b").cast("long"), F.greatest("a", "b").cast("long")
+    left = cut(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct())
+    state = None
+    while True:
         both = left.union(left.select("b", "a"))
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("y")))
-        while True:  # up to the roots; doubles the distance each time
-            up = hook.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            jumped = cut(hook.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.coalesce(F.col("z") != F.col("y"), F.lit(False)).alias("moved")))
-            hook = jumped.select("x", "y")
-            if not jumped.where("moved").take(1):
-                break
-        of = lambda name: hook.select(F.col("x").alias(name), F.col("y").alias(f"{name}_up"))
-        left = cut(left.join(of("a"), "a").join(of("b"), "b").select(F.col("a_up").alias("a"), F.col("b_up").alias("b")).where("a <> b").distinct())
-        labels = cut(labels.join(of("component"), "component", "left").select("node", F.coalesce("component_up", "component").alias("component")))
-    return labels
+        nearest = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+        large = both.join(nearest, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        tied = large.join(least, "a").select("a", "b", "least")
+        small = tied.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(tied.select("a", F.col("least").alias("b")))
+        left = cut(small.distinct())
+        before, state = state, left.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        if state == before or not state["n"]:
+            break
+    return cut(left.select(F.col("a").alias("node"), F.col("b").alias("component")).union(left.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
 
 
 class JaccardJoin:
-    """The join over one table; see :func:`near_duplicates` for the parts it leaves."""
+    """The join over one table; see :func:`near_duplicates` for the parts it leaves.
+
+    A node is a class of equal word sequences, named by the row of its member
+    with the smallest id, so one id may carry several texts.
+    """
 
     #: Longest prefix that posting lists carry along.
     CARRIED = 48
+    #: Members from which a posting list is joined by steps of size.
+    LONG_LIST = 64
     #: Pivots of a posting list in one round.
     PIVOTS = 3
 
-    def __init__(self, docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float, ...] = (1.7, 7.0, 1.7)):
+    def __init__(self, docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", shares: tuple[float | None, ...] = (1.3, None, 1.5)):
         self.k, self.percent = k, percent
-        #: Parts of the tokens that the orders count, as multiples of the prefix's share.
-        self.orders = [(o, min(1.0, s * (100 - percent) / 100)) for o, s in enumerate(shares)]
+        #: Parts of the tokens that the orders count, from multiples of the prefix's share (None: all; one order at least, not the first).
+        self.orders = [(o, 1.0 if s is None else min(1.0, s * (100 - percent) / 100)) for o, s in enumerate(shares)]
+        release(docs.sparkSession)
+        self.full = next(o for o, share in self.orders[1:] if share >= 1.0)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
         self._classes()
 
     def _classes(self) -> None:
-        first = self.orders[:1]
-        rows = shingle_rows(self.docs, self.k, self.percent, first, whole=False).withColumn("row", F.monotonically_increasing_id())
-        self.rows = cut(rows)
-        self.members = self.rows.select("doc", "n", "k1", "k2")
-        filled = self.rows.where("n > 0 and doc is not null")
+        rows = cut(shingle_rows(self.docs, self.k, self.percent, self.orders[:1]).withColumn("row", F.monotonically_increasing_id()))
+        # a thin copy, so that the token lists can be let go of early
+        self.members = cut(rows.select("doc", "n", "k1", "k2"))
+        filled = rows.where("n > 0 and doc is not null")
         classes = filled.groupBy("k1", "k2").agg(F.min(F.struct("doc", "row")).alias("least"), F.count(F.lit(1)).alias("size"))
-        self.classes = cut(classes.select("k1", "k2", F.col("least.doc").alias("rep"), F.col("least.row").alias("row"), "size"))
+        self.classes = cut(classes.select("k1", "k2", F.col("least.doc").alias("rep"), F.col("least.row").alias("node"), "size"))
         copies = cut(
-            filled.select("row", "k1", "k2").join(self.classes.where("size > 1").select("k1", "k2", F.col("row").alias("first")), ["k1", "k2"]).where("row <> first").select("row")
+            filled.select("row", "k1", "k2").join(self.classes.where("size > 1").select("k1", "k2", "node"), ["k1", "k2"]).where("row <> node").select("row")
         )
-        self.reps = join_small(filled, copies, "row", "left_anti").select("doc", "n", "in0", "out0")
+        self.reps = join_small(filled, copies, "row", "left_anti").select(F.col("row").alias("node"), "doc", "n", "in0", "out0")
+
+    def _same_ids(self) -> DataFrame | None:
+        """Links between classes that one id belongs to, ``a, b``; None if no id has two texts."""
+        own = self.members.where("n > 0 and doc is not null")
+        several = cut(own.groupBy("doc").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).where("low <> high").select("doc"))
+        if not several.take(1):
+            return None
+        nodes = join_small(own, several, "doc", "left_semi").join(self.classes, ["k1", "k2"]).select("doc", "node").distinct()
+        least = nodes.groupBy("doc").agg(F.min("node").alias("a"))
+        return cut(nodes.join(least, "doc").select("a", F.col("node").alias("b")).where("a <> b").distinct())
 
     def _candidates_ready(self) -> bool:
-        """Filters of every order for the documents that have a candidate under the first; False if none has."""
+        """Filters of every order for the nodes that have a candidate under the first; False if none has."""
         o, share = self.orders[0]
-        first = cut(prefixes(self.reps, o, share, self.percent).select("doc", F.col("prefix").alias("p0")))
+        first = cut(prefixes(self.reps, o, share, self.percent).select("node", F.col("prefix").alias("p0")))
+        self.reps = None
         release(self.docs.sparkSession)
-        tokens = first.select("doc", F.explode("p0").alias("token"))
+        tokens = first.select("node", F.explode("p0").alias("token"))
         met = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("token")
-        near = cut(tokens.join(met, "token", "left_semi").select("doc").distinct())
+        near = cut(tokens.join(met, "token", "left_semi").select("node").distinct().join(self.classes, "node").select("node", F.col("rep").alias("doc"), "k1", "k2"))
         if not near.take(1):
             return False
-        sets = cut(shingle_rows(join_small(self.docs, near, "doc", "left_semi"), self.k, self.percent, self.orders[1:], whole=True))
+        wanted = near.select("doc", "node", F.col("k1").alias("want1"), F.col("k2").alias("want2"))
+        again = shingle_rows(join_small(self.docs, wanted, "doc"), self.k, self.percent, self.orders[1:], carry=("node", "want1", "want2"))
+        sets = cut(again.where("k1 = want1 and k2 = want2").drop("k1", "k2", "want1", "want2"))
         if sets.count() != near.count():  # repeated rows
-            sets = cut(sets.dropDuplicates(["doc"]))
+            sets = cut(sets.dropDuplicates(["node"]))
         release(self.docs.sparkSession)
-        self.sets = sets.select("doc", "n", "whole")
+        # the order that counts all tokens has the whole set
+        self.sets = sets.select("node", "n", F.col(f"in{self.full}").alias("whole"))
         filters = first
         for o, share in self.orders[1:]:
             found = cut(prefixes(sets, o, share, self.percent))
-            filters = filters.join(found.select("doc", *(["n", "common"] if o == 1 else []), F.col("prefix").alias(f"p{o}")), "doc")
+            filters = filters.join(found.select("node", *(["n", "common", "alone"] if o == 1 else []), F.col("prefix").alias(f"p{o}")), "node")
             release(self.docs.sparkSession)
         self.filters = cut(filters)
         release(self.docs.sparkSession)
-        #: The second order counts most tokens, so its posting lists are the shortest.
-        self.postings = cut(self.filters.select("doc", "n", "common", F.explode("p1").alias("token")))
+        #: The second order counts all tokens, so its posting lists are the shortest.
+        places = F.posexplode("p1").alias("at", "token")
+        self.postings = cut(self.filters.select("node", "n", "common", (F.col("n") - F.col("alone")).alias("shared"), places).withColumn("left", F.col("shared") - F.col("at")).drop("at"))
         return True
 
-    def _close(self, a: str, b: str):
-        return (F.lit(100) * F.least(a, b)) >= (F.lit(self.percent) * F.greatest(a, b))
+    def _enough(self, a: str, b: str, n_a: str, n_b: str):
+        """Whether sets of ``n_a`` and ``n_b`` tokens can be similar if no more than ``a``, ``b`` of them can be met."""
+        return F.lit(100 + self.percent) * F.least(a, b) >= F.lit(self.percent) * (F.col(n_a) + F.col(n_b))
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs ``a, b`` that are similar, on the whole sets."""
         for side in ("a", "b"):
-            pairs = pairs.join(self.sets.select(F.col("doc").alias(side), F.col("whole").alias(f"set_{side}")), side)
+            pairs = pairs.join(self.sets.select(F.col("node").alias(side), F.col("whole").alias(f"set_{side}")), side)
         both = F.size(F.array_intersect("set_a", "set_b"))
         release(self.docs.sparkSession)
         return cut(
@@ -247,7 +275,7 @@ class JaccardJoin:
         """Those of the pairs that share prefix tokens under every order."""
         names = [f"p{o}" for o, _ in self.orders]
         for side in ("a", "b"):
-            pairs = pairs.join(self.filters.select(F.col("doc").alias(side), *[F.col(p).alias(f"{side}_{p}") for p in names]), side)
+            pairs = pairs.join(self.filters.select(F.col("node").alias(side), *[F.col(p).alias(f"{side}_{p}") for p in names]), side)
         for p in names:
             pairs = pairs.where(F.arrays_overlap(f"a_{p}", f"b_{p}"))
         return cut(pairs.select("a", "b"))
@@ -255,42 +283,67 @@ class JaccardJoin:
     def _pairs(self, postings: DataFrame, *unlike: str) -> DataFrame:
         """Pairs of members of one posting list that every order lets pass, each pair once.
 
-        Members with a short prefix carry it, so that a pair of them is made only
-        at the smallest token that both have; what others repeat is made distinct.
+        At the first token that two sets share, neither can share more than the
+        tokens from there on (``left``); a similar pair has enough of them at
+        that token, so the bound is part of the join.  Members with short
+        prefixes carry those of all orders, so that the orders are intersected
+        inside the join too and a pair is made only at the first token that
+        both have; what others repeat is made distinct.  In lists of over
+        ``LONG_LIST`` members the larger set of a pair meets only the steps of
+        size in which that bound leaves it a partner.
         """
-        short = F.when(F.size("p1") <= self.CARRIED, F.col("p1")).alias("p1")
-        rows = postings.select("token", "doc", *unlike).join(self.filters.select("doc", "n", short), "doc")
-        left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "p1", *unlike)]) for s in "ab")
-        condition = (left["token"] == right["token"]) & (F.col("doc_a") < F.col("doc_b")) & self._close("n_a", "n_b")
+        names = [f"p{o}" for o, _ in self.orders]
+        short = [F.when(F.size(p) <= self.CARRIED, F.col(p)).alias(p) for p in names]
+        long = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > self.LONG_LIST).select("token", F.lit(True).alias("long")))
+        t = self.percent / 100
+        step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) * F.lit(-4 / np.log(t) if t < 1 else 1e3)).cast("int")
+        rows = (
+            join_small(postings.select("token", "node", "left", *unlike), long, "token", "left")
+            .join(self.filters.select("node", "n", *short), "node")
+            # the largest set that this one can be similar to from here on
+            .withColumn("most", F.floor(F.lit(100 + self.percent) * F.col("left") / F.lit(self.percent)) - F.col("n"))
+        )
+        low, high = step(F.floor(F.lit(t) * F.col("n"))), step(F.least("n", "most"))
+        larger = rows.withColumn("step", F.explode(F.when(F.col("long"), F.when(F.col("most") > 0, F.sequence(F.least(low, high), high))).otherwise(F.array(F.lit(-1)))))
+        smaller = rows.withColumn("step", F.when(F.col("long"), step(F.col("n"))).otherwise(-1))
+        left, right = (side.select("token", "step", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "left", *names, *unlike)]) for s, side in (("a", larger), ("b", smaller)))
+        condition = (left["token"] == right["token"]) & (left["step"] == right["step"])
+        condition = condition & (F.struct("n_b", "node_b") < F.struct("n_a", "node_a")) & self._enough("left_a", "left_b", "n_a", "n_b")
         for c in unlike:
             condition = condition & (F.col(f"{c}_a") != F.col(f"{c}_b"))
-        condition = condition & F.coalesce(F.array_min(F.array_intersect("p1_a", "p1_b")) == left["token"], F.lit(True))
-        return self._filtered(cut(left.join(right, condition).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()))
+        for p in names:
+            condition = condition & F.coalesce(F.arrays_overlap(f"{p}_a", f"{p}_b"), F.lit(True))
+        condition = condition & F.coalesce(F.get(F.array_intersect("p1_a", "p1_b"), F.lit(0)) == left["token"], F.lit(True))
+        return self._filtered(cut(left.join(right, condition).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()))
 
     def links(self) -> DataFrame:
-        """All links between class representatives: ``a, b, both, either`` (sizes of intersection and union)."""
+        """All links between class representatives: ``a, b, both, either`` (ids, sizes of intersection and union)."""
         if not self._candidates_ready():
             return self.docs.sparkSession.createDataFrame([], "a bigint, b bigint, both int, either int")
-        return self._verified(self._pairs(self.postings))
+        found = self._verified(self._pairs(self.postings))
+        for side in ("a", "b"):
+            found = found.join(self.classes.select(F.col("node").alias(side), F.col("rep").alias(f"{side}_doc")), side)
+        return found.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "both", "either")
 
     def _mixed(self, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
         """Postings of tokens whose members have different labels, their number, and
         how many pairs of members with different labels they hold."""
         rows = self.postings
         if labels is None:
-            rows = rows.withColumn("label", F.col("doc"))
+            rows = rows.withColumn("label", F.col("node"))
         else:
-            rows = rows.join(labels, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "common", F.coalesce("component", "doc").alias("label"))
+            of = labels.select("node", "component")
+            rows = rows.join(of, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         rows = cut(rows)
         groups = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
         split = cut(
             groups.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("labels > 1")
         )
         total = split.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("pairs")).first()
-        return cut(rows.join(split.select("token"), "token", "left_semi")), total["rows"] or 0, int(total["pairs"] or 0)
+        return cut(join_small(rows, split.select("token"), "token", "left_semi")), total["rows"] or 0, int(total["pairs"] or 0)
 
     def representative_components(self, least_rounds: int = 1, rounds: int = 24, partners: int = 10) -> DataFrame | None:
-        """``node, component`` of representatives that have a link, or None if none has.
+        """``node, component`` of nodes that have a link, or None if none has.
 
         The members of a posting list meet ``PIVOTS`` pivots a round: the member that
         shares the largest part of its tokens at first, others by a hash.  After
@@ -298,9 +351,10 @@ class JaccardJoin:
         a row and a round still takes away a tenth of the pairs.  Rounds only save work, so their bounds
         decide no result: the last step compares all that is left.
         """
+        links = self._same_ids()
+        labels = None if links is None else components(links)
         if not self._candidates_ready():
-            return None
-        links, labels = None, None
+            return labels
 
         def joined(found: DataFrame):
             nonlocal links, labels
@@ -312,14 +366,14 @@ class JaccardJoin:
         for r in range(rounds):
             if not size or r >= least_rounds and pairs <= partners * size:
                 break
-            ranks = [F.xxhash64(F.lit(r * self.PIVOTS + i), "doc").cast("double") for i in range(self.PIVOTS)]
+            ranks = [F.xxhash64(F.lit(r * self.PIVOTS + i), "node").cast("double") for i in range(self.PIVOTS)]
             if r == 0:
                 ranks[0] = F.col("common")
-            tops = rows.groupBy("token").agg(*[F.max(F.struct(x.alias("rank"), (-F.col("doc")).alias("back"), "n", "label")).alias(f"top{i}") for i, x in enumerate(ranks)])
-            each = F.array_distinct(F.array(*[F.struct((-F.col(f"top{i}.back")).alias("pivot"), F.col(f"top{i}.n").alias("n_p"), F.col(f"top{i}.label").alias("label_p")) for i in range(self.PIVOTS)]))
-            pivots = tops.select("token", F.inline(each))
-            stars = rows.join(pivots, "token").where((F.col("label") != F.col("label_p")) & self._close("n", "n_p"))
-            stars = cut(stars.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
+            tops = rows.groupBy("token").agg(*[F.max(F.struct(x.alias("rank"), (-F.col("node")).alias("back"), "n", "shared", "label")).alias(f"top{i}") for i, x in enumerate(ranks)])
+            each = F.array_distinct(F.array(*[F.struct((-F.col(f"top{i}.back")).alias("pivot"), *[F.col(f"top{i}.{c}").alias(f"{c}_p") for c in ("n", "shared", "label")]) for i in range(self.PIVOTS)]))
+            pivots = cut(tops.select("token", F.inline(each)))
+            stars = join_small(rows, pivots, "token").where((F.col("label") != F.col("label_p")) & self._enough("shared", "shared_p", "n", "n_p"))
+            stars = cut(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
             joined(self._verified(self._filtered(stars)).select("a", "b"))
             release(self.docs.sparkSession)
             before = pairs
@@ -337,26 +391,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Two documents link when ``100 * intersection >= percent * union`` of their
     k-word shingle sets (A-Z lower-cased); ``component_id`` is the smallest id
     that links reach.  Null texts and texts without words have no shingles and
-    are alone.  Rows with a null id have a null component.  Repeated rows are
-    one document.  Texts of any length are taken whole; an empty table gives an
-    empty result; extra columns are ignored.
+    are alone.  Rows with a null id have a null component.  Rows of one id are
+    one document, whose texts are linked with one another, equal or not.  Texts
+    of any length are taken whole; ties decide nothing; an empty table gives an
+    empty result; extra columns are ignored, whatever their names.
     """
     join = JaccardJoin(docs, k, percent, id_col, text_col)
     found = join.representative_components()
-    reps = join.classes.select("k1", "k2", "rep")
+    classes = join.classes.select("k1", "k2", "node", "rep")
     if found is not None:
-        reps = cut(reps.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("rep")))
-    return (
+        named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("rep").alias("least"))
+        classes = cut(named.join(least, "component").select("k1", "k2", F.col("least").alias("rep")))
+    named = (
         join.members.withColumn("linked", F.col("n") > 0)
-        .join(reps.withColumn("linked", F.lit(True)), ["k1", "k2", "linked"], "left")
+        .join(classes.select("k1", "k2", "rep").withColumn("linked", F.lit(True)), ["k1", "k2", "linked"], "left")
         .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("component_id"))
     )
+    # an id with a text and without one
+    blank = cut(join.members.where("doc is not null").groupBy("doc").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low = 0 and high > 0").select(F.col("doc").alias("doc_id")))
+    if blank.take(1):
+        least = cut(join_small(named, blank, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least")))
+        named = join_small(named, least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return named
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; repeated rows leave one."""
+    """One row of every component, with all columns of ``docs``: the row whose id names it.
+
+    Where several rows have that id, the one with the smallest hash of its
+    values stays, whatever the order of rows.  Rows with a null id all stay.  Nulls, empty and long texts,
+    empty tables and clashing column names are as in :func:`near_duplicates`.
+    """
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = join_small(docs, gone, docs[id_col] == F.col("_gone"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").take(1)
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("key"))
+    gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("key")).distinct())
+    kept = join_small(whole, gone, "key", "left_anti")
+    several = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("key")))
+    if several.take(1):
+        alike = F.struct(F.xxhash64(f"doc.{text_col}").alias("t"), F.xxhash64("doc").alias("h"))
+        one = join_small(kept, several, "key", "left_semi").groupBy("key").agg(F.min_by("doc", alike).alias("doc")).select("doc", "key")
+        kept = join_small(kept, several, "key", "left_anti").unionByName(one)
+    return kept.select("doc.*")
