@@ -106,6 +106,16 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return (F.shiftright(h, 11).cast("double") + F.lit(2.0**52)) / F.lit(2.0**53)
 
 
+def drawn(seed, *cols: Column) -> Column:
+    """Uniform integer in [0, 2**48) from MD5, which other engines have too; nulls count as empty."""
+    parts = [seed if isinstance(seed, Column) else F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("long")
+
+
+#: Values of :func:`drawn`.
+DRAWS = float(1 << 48)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

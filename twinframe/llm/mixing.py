@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, null_safe_key, unit_hash, word_count
+from .common import DRAWS, cut, drawn, join_small, null_safe_key, word_count
 
 
 def source_targets(
@@ -56,17 +56,19 @@ def source_targets(
 SEEDS = 16
 
 
-def _base_hash(id_col: str, text_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+def _draw_of(id_col: str, text_col: str) -> Column:
+    """What a document's draws hang on: its id and text, so repeated rows share them."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text))
 
 
-def _copies(pick: Column) -> Column:
-    """floor(rate) copies, and one more if the hash for seed ``pick`` falls under the fraction."""
+def _copies(pick: Column, seed: int) -> Column:
+    """floor(rate) copies, and one more if the draw for seed ``pick`` falls under the fraction."""
     whole = F.floor("rate")
-    return (whole + (unit_hash(F.col("h"), pick) < F.col("rate") - whole).cast("int")).cast("int")
+    return (whole + (drawn(seed, pick, F.col("h")) / F.lit(DRAWS) < F.col("rate") - whole).cast("int")).cast("int")
 
 
-def _rates(thin: DataFrame, weights: Sequence[float], total_share: float, cap: float) -> DataFrame:
+def _rates(thin: DataFrame, weights: Sequence[float], total_share: float, cap: float, seed: int) -> DataFrame:
     """One row a source: ``stratum, source_size, target, rate, pick`` (cut).
 
     Each of the ``SEEDS`` seeds is a fair draw; small sources would still stray
@@ -78,19 +80,19 @@ def _rates(thin: DataFrame, weights: Sequence[float], total_share: float, cap: f
     tried = (
         join_small(thin, targets.select("stratum", "rate"), "stratum")
         .groupBy("stratum")
-        .agg(*[F.sum(F.col("size") * _copies(F.lit(k))).alias(f"taken_{k}") for k in range(SEEDS)])
+        .agg(*[F.sum(F.col("size") * _copies(F.lit(k), seed)).alias(f"taken_{k}") for k in range(SEEDS)])
     )
     misses = F.array(*[F.struct(F.abs(F.col(f"taken_{k}") - F.col("target")).alias("miss"), F.lit(k).alias("k")) for k in range(SEEDS)])
     return cut(targets.join(tried, "stratum").withColumn("pick", F.array_min(misses)["k"]).select("stratum", "source_size", "target", "rate", "pick"))
 
 
-def _thin(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _thin(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         null_safe_key(source_col).alias("stratum"),
         word_count(F.col(text_col).cast("string")).alias("size"),
-        _base_hash(id_col, text_col, seed).alias("h"),
+        _draw_of(id_col, text_col).alias("h"),
     )
 
 
@@ -111,11 +113,11 @@ def plan_mix(
     share one draw, so reruns and repeated rows agree.  A source of size 0 has
     target 0.  An empty table gives an empty result; extra columns are ignored.
     """
-    thin = cut(_thin(docs, seed, id_col, text_col, source_col))
-    rates = _rates(thin, weights, total_share, cap)
+    thin = cut(_thin(docs, id_col, text_col, source_col))
+    rates = _rates(thin, weights, total_share, cap, seed)
     return (
         join_small(thin, rates, "stratum")
-        .withColumn("copies", _copies(F.col("pick")))
+        .withColumn("copies", _copies(F.col("pick"), seed))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
     )
 
@@ -135,10 +137,10 @@ def mix(
     Texts are not shuffled: the rates of the sources come to the documents.
     Same rules for nulls, ties and repeated rows as :func:`plan_mix`.
     """
-    thin = cut(_thin(docs, seed, id_col, text_col, source_col).drop("doc_id"))
-    rates = _rates(thin, weights, total_share, cap).select("stratum", "rate", "pick")
+    thin = cut(_thin(docs, id_col, text_col, source_col).drop("doc_id"))
+    rates = _rates(thin, weights, total_share, cap, seed).select("stratum", "rate", "pick")
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), null_safe_key(source_col).alias("stratum"), _base_hash(id_col, text_col, seed).alias("h")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), null_safe_key(source_col).alias("stratum"), _draw_of(id_col, text_col).alias("h")
     )
-    taken = join_small(whole, rates, "stratum").withColumn("copies", _copies(F.col("pick"))).where("copies > 0")
+    taken = join_small(whole, rates, "stratum").withColumn("copies", _copies(F.col("pick"), seed)).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .ann import nearest
 from .jaccard import near_duplicates
 from .langid import identify
@@ -81,4 +82,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return oracles.oracle_sql()

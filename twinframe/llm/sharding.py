@@ -19,13 +19,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, null_safe_key, unit_hash
+from .common import DRAWS, cut, drawn, null_safe_key
 
 
 def _range_of(h: Column, n: int) -> Column:
-    """0..n-1, growing with the signed 64-bit ``h``."""
-    unit = (F.shiftright(h, 16).cast("double") + F.lit(2.0**47)) / F.lit(2.0**48)
-    return F.floor(unit * F.lit(float(n))).cast("long")
+    """0..n-1, growing with the draw ``h``."""
+    return F.floor(h.cast("double") / F.lit(DRAWS) * F.lit(float(n))).cast("long")
 
 
 def shard_by_mixture(
@@ -53,7 +52,7 @@ def shard_by_mixture(
         null_safe_key(source_col).alias("stratum"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        drawn(seed, F.col(id_col)).alias("h"),
     )
     total = docs.count()
     n = max(1, total)
@@ -64,7 +63,7 @@ def shard_by_mixture(
     ranged = rows.withColumn("part", _range_of(F.col("h"), ranges))
     by_source = Window.partitionBy("stratum")
     counted = (
-        docs.select(null_safe_key(source_col).alias("stratum"), _range_of(F.xxhash64(F.lit(seed), F.col(id_col)), ranges).alias("part"))
+        docs.select(null_safe_key(source_col).alias("stratum"), _range_of(drawn(seed, F.col(id_col)), ranges).alias("part"))
         .groupBy("stratum", "part")
         .count()
         .withColumn("before", F.sum("count").over(by_source.orderBy("part")) - F.col("count"))
@@ -72,7 +71,7 @@ def shard_by_mixture(
         .drop("count")
     )
     in_range = Window.partitionBy("stratum", "part").orderBy(*order)
-    shift = unit_hash(F.col("stratum"), seed=seed + 1)
+    shift = drawn(seed + 1, F.col("stratum")) / F.lit(DRAWS)
     placed = cut(
         ranged.join(counted, ["stratum", "part"])
         .withColumn("rank", F.col("before") + F.row_number().over(in_range))
