@@ -20,14 +20,9 @@ from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, Nume
 
 # What the readings accept.
 CURRENCY_SIGNS = "$£€¥₪₹¢"
-DATE_FORMATS = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", "M/d/yyyy H:m"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-)
+# Month and day come before the year, month first where both readings are dates; a time may follow slashes.
+DAY_BEFORE_YEAR = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})((?<=/\d{4}) \d{1,2}:\d{1,2})?$"
+YEAR_FIRST = r"^(\d{4})/(\d{1,2})/(\d{1,2})$"
 YES_WORDS, NO_WORDS = ("true", "t", "yes"), ("false", "f", "no")
 
 
@@ -65,9 +60,11 @@ def as_time(c: Column, kind: DataType) -> Column:
         return c.cast("timestamp_ntz")
     if not isinstance(kind, StringType):
         return F.lit(None).cast("timestamp_ntz")
-    found = F.when(c.rlike(r"^\s*\d{1,4}-\d{1,2}-\d{1,2}"), F.trim(c).try_cast("timestamp_ntz"))
-    tries = [F.when(c.rlike(pattern), F.try_to_timestamp(c, F.lit(form)).cast("timestamp_ntz")) for pattern, form in DATE_FORMATS]
-    return F.coalesce(found, *tries)
+    # one canonical spelling and one parse for each order of month and day
+    plain = F.regexp_replace(F.regexp_replace(c, DAY_BEFORE_YEAR, "$4-$1-$3$5"), YEAR_FIRST, "$1-$2-$3")
+    month_first = F.when(plain.rlike(r"^\s*\d{1,4}-\d{1,2}-\d{1,2}"), F.trim(plain).try_cast("timestamp_ntz"))
+    day_first = F.when(c.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}$"), F.regexp_replace(c, DAY_BEFORE_YEAR, "$4-$3-$1").try_cast("timestamp_ntz"))
+    return F.coalesce(month_first, day_first)
 
 
 def as_yes_no(c: Column, kind: DataType) -> Column:
@@ -91,24 +88,39 @@ def as_text(c: Column, rules: TextRules = TextRules()) -> Column:
     return F.btrim(t, F.lit("'\""))
 
 
-def cells_differ(left: Column, left_kind: DataType, right: Column, right_kind: DataType, tolerance: float = 0.0, rules: TextRules = TextRules()) -> Column:
-    """True where the cells differ; never null.  Null equals only null."""
+#: Bits of a cell's state: it differs exactly; it differs beyond the tolerance.
+UNEQUAL, APART = 1, 2
+
+
+def cell_state(left: Column, left_kind: DataType, right: Column, right_kind: DataType, tolerance: float = 0.0, rules: TextRules = TextRules()) -> Column:
+    """``UNEQUAL`` and ``APART`` added up, 0 where the cells agree; never null.  Null equals only null."""
 
-    def apart(a: Column, b: Column) -> Column:
-        return F.abs(a - b) > F.lit(float(tolerance)) if tolerance > 0 else a != b
+    def numbers(a: Column, b: Column) -> Column:
+        if tolerance <= 0:
+            return (a != b).cast("int") * (UNEQUAL + APART)
+        return (a != b).cast("int") * UNEQUAL + (F.abs(a - b) > F.lit(float(tolerance))).cast("int") * APART
 
-    out = F.when(left.isNull() & right.isNull(), False).when(left.isNull() | right.isNull(), True)
+    both = F.lit(UNEQUAL + APART)
+    apart = lambda a, b: (a != b).cast("int") * both
+    out = F.when(left.isNull() & right.isNull(), 0).when(left.isNull() | right.isNull(), both)
     if is_number(left_kind) and is_number(right_kind):
-        return out.otherwise(apart(left.cast("double"), right.cast("double")))
+        return out.otherwise(numbers(left.cast("double"), right.cast("double")))
     if left_kind == right_kind or isinstance(left_kind, StringType) and isinstance(right_kind, StringType):
-        out = out.when(left == right, False)
-    a, b = as_number(left, left_kind), as_number(right, right_kind)
-    out = out.when(a.isNotNull() & b.isNotNull(), apart(a, b))
-    a, b = as_time(left, left_kind), as_time(right, right_kind)
-    out = out.when(a.isNotNull() & b.isNotNull(), a != b)
-    a, b = as_yes_no(left, left_kind), as_yes_no(right, right_kind)
-    out = out.when(a.isNotNull() & b.isNotNull(), a != b)
-    return out.otherwise(as_text(left, rules) != as_text(right, rules))
+        out = out.when(left == right, 0)
+    # a reading that either cell lacks gives null, so each is named once and the next one is tried
+    return out.otherwise(
+        F.coalesce(
+            numbers(as_number(left, left_kind), as_number(right, right_kind)),
+            apart(as_time(left, left_kind), as_time(right, right_kind)),
+            apart(as_yes_no(left, left_kind), as_yes_no(right, right_kind)),
+            apart(as_text(left, rules), as_text(right, rules)),
+        )
+    )
+
+
+def cells_differ(left: Column, left_kind: DataType, right: Column, right_kind: DataType, tolerance: float = 0.0, rules: TextRules = TextRules()) -> Column:
+    """True where the cells differ (beyond the tolerance); never null."""
+    return cell_state(left, left_kind, right, right_kind, tolerance, rules).bitwiseAND(APART) > 0
 
 
-__all__ = ["BooleanType", "TextRules", "as_number", "as_text", "as_time", "as_yes_no", "cells_differ", "is_number", "is_time", "shown"]
+__all__ = ["APART", "BooleanType", "TextRules", "UNEQUAL", "as_number", "as_text", "as_time", "as_yes_no", "cell_state", "cells_differ", "is_number", "is_time", "shown"]

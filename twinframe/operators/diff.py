@@ -1,8 +1,8 @@
 """Comparison of two keyed tables.
 
 Everything comes from one full outer join on the canonical key: the status of
-each row, the flags of its differing cells, and from these the summary, the
-long form, the per-column statistics and the report layouts.
+each row, the states of its cells, and from these the summary, the long form,
+the per-column statistics and the report layouts.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 from functools import cached_property, reduce
 from operator import or_
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.coerce import TextRules, cells_differ, shown
+from ..functions.coerce import APART, UNEQUAL, TextRules, cell_state, cells_differ, shown
 from ..plans.alignment import Alignment, align
-from .keys import canonical, require_unique
+from .keys import all_filled, canonical, require_unique
 
 KEY_SEPARATOR = " | "
 LONG_FORM = ("Key", "Differing Column", "Left Value", "Right Value", "Difference Type", "Entire Column Different")
@@ -26,6 +27,18 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(F.lit(100.0) * part / whole, 2)).otherwise(F.lit(0.0))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a checkpoint in the folder that the cluster names, or else blocks on disk."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist(StorageLevel.DISK_ONLY)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 class Comparison:
     """``left`` against ``right``; frames are lazy until a result is asked for."""
 
@@ -48,18 +61,23 @@ class Comparison:
 
     # ---- the one join
     def _side(self, df: DataFrame, which: int) -> DataFrame:
-        """Canonical keys ``_k0..`` and the row itself as a struct, narrowed to what is compared."""
+        """Canonical keys ``_k0..`` and the row itself as a struct, narrowed to what is compared.
+
+        Rows with a null in the key match nothing, so they may go anywhere: a
+        number of their own in ``_spread`` keeps them out of one partition.
+        """
         name = "lr"[which]
         used = [p[which] for p in (*self.plan.keys, *self.plan.values)]
         return df.select(
             *[canonical(p[which]).alias(f"_k{i}") for i, p in enumerate(self.plan.keys)],
+            F.when(all_filled([p[which] for p in self.plan.keys]), F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(which), F.monotonically_increasing_id())).alias("_spread"),
             F.struct(*[F.col(f"`{c}`").alias(f"{name}{j}") for j, c in enumerate(used)]).alias(name),
         )
 
     @cached_property
     def aligned(self) -> DataFrame:
         """One row a pair or a lone row: ``status``, ``l``, ``r``; null keys never match."""
-        on = [f"_k{i}" for i in range(len(self.plan.keys))]
+        on = [*(f"_k{i}" for i in range(len(self.plan.keys))), "_spread"]
         joined = self._side(self.left, 0).join(self._side(self.right, 1), on, "full_outer")
         status = F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right").otherwise("both")
         return joined.select(status.alias("status"), "l", "r")
@@ -68,47 +86,44 @@ class Comparison:
         at = len(self.plan.keys) + j
         return F.col(f"l.l{at}"), F.col(f"r.r{at}")
 
-    def _differs(self, j: int, tolerance: float) -> Column:
+    def _kinds(self, j: int):
         a, b = self.plan.values[j]
-        left, right = self._cell(j)
-        return cells_differ(left, self.left.schema[a].dataType, right, self.right.schema[b].dataType, tolerance, self.rules)
+        return self.left.schema[a].dataType, self.right.schema[b].dataType
 
-    @cached_property
-    def flagged(self) -> DataFrame:
-        """Matched rows with ``exact`` and ``near``: arrays of flags, one a value column."""
-        both = self.aligned.where("status = 'both'")
-        n = len(self.plan.values)
-        exact = both.withColumns({f"_e{j}": self._differs(j, 0.0) for j in range(n)})
-        near = exact.withColumns({f"_n{j}": F.col(f"_e{j}") & self._differs(j, self.tolerance) if self.tolerance > 0 else F.col(f"_e{j}") for j in range(n)})
-        return near
+    def _differs(self, j: int, tolerance: float) -> Column:
+        (left, right), (a, b) = self._cell(j), self._kinds(j)
+        return cells_differ(left, a, right, b, tolerance, self.rules)
 
     # ---- counts
-    def counts(self) -> DataFrame:
-        """One row: totals, matches, lone rows."""
+    def _count_rows(self) -> list[Column]:
         is_ = lambda s: F.count_if(F.col("status") == s)
-        return self.aligned.select("status").agg(
+        return [
             (is_("both") + is_("left")).alias("total_left"),
             (is_("both") + is_("right")).alias("total_right"),
             is_("both").alias("matched_rows"),
             is_("left").alias("only_in_left"),
             is_("right").alias("only_in_right"),
-        )
+        ]
+
+    def counts(self) -> DataFrame:
+        """One row: totals, matches, lone rows."""
+        return self.aligned.select("status").agg(*self._count_rows())
 
     def summary(self) -> DataFrame:
-        """One row: counts, rows that differ (within tolerance and exactly) and rates in percent."""
+        """One row: counts, rows that differ (within tolerance and exactly) and rates in percent.
+
+        Each cell is read once; its state says whether it differs exactly and
+        whether it does so beyond the tolerance.
+        """
         n = len(self.plan.values)
-        any_of = lambda t: reduce(or_, [self._differs(j, t) for j in range(n)]) if n else F.lit(False)
         both = F.col("status") == "both"
-        is_ = lambda s: F.count_if(F.col("status") == s)
-        flagged = self.aligned.select("status", F.when(both, any_of(0.0)).alias("exact"), F.when(both, any_of(self.tolerance)).alias("near"))
-        out = flagged.agg(
-            (is_("both") + is_("left")).alias("total_left"),
-            (is_("both") + is_("right")).alias("total_right"),
-            is_("both").alias("matched_rows"),
-            is_("left").alias("only_in_left"),
-            is_("right").alias("only_in_right"),
-            F.count_if("near").alias("value_differences"),
-            F.count_if("exact").alias("value_differences_exact"),
+        states = []
+        for j in range(n):
+            (left, right), (a, b) = self._cell(j), self._kinds(j)
+            states.append(F.when(both, cell_state(left, a, right, b, self.tolerance, self.rules)).alias(f"s{j}"))
+        any_of = lambda bit: reduce(or_, [F.col(f"s{j}").bitwiseAND(bit) > 0 for j in range(n)]) if n else F.lit(False)
+        out = self.aligned.select("status", *states).agg(
+            *self._count_rows(), F.count_if(any_of(APART)).alias("value_differences"), F.count_if(any_of(UNEQUAL)).alias("value_differences_exact")
         )
         m, left, right = F.col("matched_rows"), F.col("total_left"), F.col("total_right")
         return out.select(
@@ -122,7 +137,7 @@ class Comparison:
     def only_in(self, side: str) -> DataFrame:
         """All columns of the rows that only ``left`` or ``right`` has, keys that are null among them."""
         df, other, own, its = (self.left, self.right, 0, 1) if side == "left" else (self.right, self.left, 1, 0)
-        keys = other.select(*[canonical(p[its]).alias(f"_o{i}") for i, p in enumerate(self.plan.keys)])
+        keys = other.where(all_filled([p[its] for p in self.plan.keys])).select(*[canonical(p[its]).alias(f"_o{i}") for i, p in enumerate(self.plan.keys)])
         on = reduce(lambda a, b: a & b, [canonical(p[own]) == F.col(f"_o{i}") for i, p in enumerate(self.plan.keys)])
         return df.join(keys, on, "left_anti")
 
@@ -139,7 +154,7 @@ class Comparison:
 
     # ---- long form
     def _key(self) -> Column:
-        parts = [F.coalesce(F.col(f"l.l{i}"), F.col(f"l.l{i}")) for i in range(len(self.plan.keys))]
+        parts = [F.col(f"l.l{i}") for i in range(len(self.plan.keys))]
         return parts[0] if len(parts) == 1 else F.concat_ws(KEY_SEPARATOR, *[F.trim(p.cast("string")) for p in parts])
 
     def cells(self, tolerance: float = 0.0) -> DataFrame:
@@ -161,17 +176,27 @@ class Comparison:
         return both.select(self._key().alias("Key"), F.explode(F.array_compact(F.array(*found))).alias("cell")).select("Key", "cell.*")
 
     def annotated(self) -> DataFrame:
-        """The long form with ``Entire Column Different``.
+        """The long form with ``Entire Column Different``; the flags are one row a column, so they are broadcast.
 
-        The flags are one row a column, so they are broadcast; both branches
-        read the same join, whose exchanges Spark reuses.
+        The cells are computed once and kept: a column differs everywhere if it
+        has as many cells there as rows are matched, a number that needs the
+        keys only.
         """
-        flags = self.column_stats(0.0).select(F.col("column_name").alias("Differing Column"), F.col("entire_column").alias("Entire Column Different"))
-        return self.cells().join(F.broadcast(flags), "Differing Column").select(*LONG_FORM)
+        rows = kept(self.cells())
+        found = rows.groupBy("Differing Column").agg(F.count(F.lit(1)).alias("n"))
+        flags = found.join(F.broadcast(self.counts().select("matched_rows"))).select(
+            "Differing Column", F.when(F.col("n") == F.col("matched_rows"), "true").otherwise("false").alias("Entire Column Different")
+        )
+        return rows.join(F.broadcast(flags), "Differing Column").select(*LONG_FORM)
+
+    @cached_property
+    def long_form(self) -> DataFrame:
+        """:meth:`annotated`, computed once for all layouts of this comparison."""
+        return kept(self.annotated())
 
     def full_export(self, annotated: DataFrame | None = None) -> DataFrame:
         """One row (the first key) for each column that differs everywhere, all cells of the others."""
-        rows = annotated if annotated is not None else self.annotated()
+        rows = annotated if annotated is not None else self.long_form
         entire = F.col("Entire Column Different") == "true"
         whole = rows.where(entire).groupBy("Differing Column").agg(F.min(F.struct(*LONG_FORM[:1], *LONG_FORM[2:])).alias("first"))
         return whole.select("first.Key", "Differing Column", *[f"first.`{c}`" for c in LONG_FORM[2:]]).unionByName(rows.where(~entire))
@@ -185,7 +210,7 @@ class Comparison:
 
         First rows are taken by sort and limit, never by a window over all rows.
         """
-        rows = annotated if annotated is not None else self.annotated()
+        rows = annotated if annotated is not None else self.long_form
         by = [F.col(f"`{c}`") for c in order]
         entire = F.col("Entire Column Different") == "true"
         w = Window.partitionBy("Differing Column").orderBy(*by)

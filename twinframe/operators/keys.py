@@ -42,7 +42,7 @@ def canonical(column: str) -> Column:
     return F.trim(F.col(f"`{column}`").cast("string"))
 
 
-def _filled(keys: Sequence[str]) -> Column:
+def all_filled(keys: Sequence[str]) -> Column:
     out = F.col(f"`{keys[0]}`").isNotNull()
     for k in keys[1:]:
         out = out & F.col(f"`{k}`").isNotNull()
@@ -56,7 +56,7 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     null in the key are one group of their own and are counted apart.
     """
     key = F.struct(*[canonical(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    groups = df.groupBy(F.when(_filled(keys), key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.groupBy(F.when(all_filled(keys), key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     whole = F.col("key").isNotNull()
     count = lambda c: F.coalesce(F.sum(F.when(whole, c)), F.lit(0)).cast("long")
     return groups.agg(
