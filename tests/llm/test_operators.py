@@ -440,6 +440,10 @@ def test_nearest(spark):
     assert np.mean(hits) >= 0.9
     assert [i for i, _ in by[100]][:19] == list(range(101, 120))
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    twice = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (21, [1.0, 0.1]), (22, [0.1, 1.0]), (22, [0.1, 1.0])]
+    two = spark.createDataFrame(twice, "vec_id bigint, embedding array<float>")
+    lists = collections.Counter((r["rank"], r["vec_id"]) for r in ann.nearest(two, two.where("vec_id = 20"), 20).collect())
+    assert lists == {(1, 21): 1, (2, 22): 2, (3, 22): 1, (1, 22): 1, (3, 21): 1}
     few = df.where("vec_id < 5")
     assert ann.nearest(few, few.where("vec_id = 0"), 20).count() == 4
 

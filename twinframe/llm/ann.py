@@ -77,11 +77,11 @@ class PrefixForest:
             waiting = np.concatenate(left) if left else waiting[:0]
 
 
-def _search_block(ids, vectors, forest, query_ids, queries, k, share, least_rows):
-    """(query id, row id, score) of each query's best candidates in one block."""
+def _search_block(ids, vectors, forest, query_ids, which, queries, k, share, least_rows):
+    """(query id, query, row id, score) of each query's best candidates in one block."""
     least = min(len(ids), max(least_rows, math.ceil(share * len(ids))))
     keys = forest.strings(queries)
-    out_q, out_v, out_s = [], [], []
+    out_q, out_w, out_v, out_s = [], [], [], []
     for at, rows in forest.candidates(keys, least):
         q, query = query_ids[at], queries[at]
         rows = rows[ids[rows] != q]
@@ -92,9 +92,10 @@ def _search_block(ids, vectors, forest, query_ids, queries, k, share, least_rows
         scores = (vectors[rows] * query).sum(axis=1)  # the same sum for equal vectors, wherever they lie
         best = np.lexsort((ids[rows], -scores))[:k]
         out_q.append(np.full(len(best), q, dtype=np.int64))
+        out_w.append(np.full(len(best), which[at], dtype=np.int64))
         out_v.append(ids[rows][best])
         out_s.append(scores[best])
-    return out_q, out_v, out_s
+    return out_q, out_w, out_v, out_s
 
 
 def usable(embedding: Column) -> Column:
@@ -123,7 +124,9 @@ def nearest(
     query or row; vectors meet only those of their own length.  With fewer than
     ``k`` candidates all are returned; empty tables give an empty result; extra
     columns are ignored.  Equal vectors share all hash strings, so ties of any
-    number are met together; repeated ids are rows of their own.
+    number are met together.  An id that is asked with several vectors has a list
+    of ranks for each of them; equal rows are asked once.  Candidates are rows, so an id may be
+    met several times.
     """
 
     def good(df: DataFrame) -> DataFrame:
@@ -132,9 +135,9 @@ def nearest(
         return picked.where(usable(v) & F.col("id").isNotNull())
 
     blocks = max(1, math.ceil(rows.count() / block_rows))
-    data = good(rows).select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asked = good(queries).select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
-    dealt = data.union(asked).repartition(max(blocks, 1), "dim", "block").sortWithinPartitions("dim", "block", "kind", "id")
+    data = good(rows).select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("asked"), "v")
+    asked = good(queries).dropDuplicates(["id", "v"]).select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", F.xxhash64("id", "v").alias("asked"), "v")
+    dealt = data.union(asked).repartition(max(blocks, 1), "dim", "block").sortWithinPartitions("dim", "block", "kind", "id", "asked")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, forest, ids, vectors = None, [], None, None, None
@@ -146,7 +149,8 @@ def nearest(
                 if a == b:
                     continue
                 own = batch.column(3)[a:b].to_numpy(zero_copy_only=False)
-                v = batch.column(4)[a:b].flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(dim[a]))
+                which = batch.column(4)[a:b].to_numpy(zero_copy_only=False)
+                v = batch.column(5)[a:b].flatten().to_numpy(zero_copy_only=False).reshape(b - a, int(dim[a]))
                 if (dim[a], block[a]) != now:
                     now, held, forest = (dim[a], block[a]), [], None
                 if kind[a] == 0:
@@ -157,11 +161,11 @@ def nearest(
                 if forest is None:
                     ids, vectors = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
                     forest = PrefixForest(vectors, trees, bits)
-                q, r, s = _search_block(ids, vectors, forest, own, v, k, share, least_rows)
+                q, w, r, s = _search_block(ids, vectors, forest, own, which, v, k, share, least_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(r), pa.int64()), pa.array(np.concatenate(s), pa.float64())], names=["query_id", "vec_id", "score"]
+                    [*(pa.array(np.concatenate(x), pa.int64()) for x in (q, w, r)), pa.array(np.concatenate(s), pa.float64())], names=["query_id", "asked", "vec_id", "score"]
                 )
 
-    found = cut(dealt.mapInArrow(work, "query_id bigint, vec_id bigint, score double"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = cut(dealt.mapInArrow(work, "query_id bigint, asked bigint, vec_id bigint, score double"))
+    best = Window.partitionBy("query_id", "asked").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -76,8 +76,8 @@ BITS = 16
 #: Words of a line scored at a time, and the step between such segments; also the
 #: most words that a notice inside a paragraph spreads over.
 SEGMENT, STEP = 48, 24
-#: Bound on corpus rows whose paragraphs teach the unknown class.
-FIT_ROWS = 1500
+#: Bounds on corpus rows whose paragraphs teach the unknown class: their number and the bytes of their texts, on average.
+FIT_ROWS, FIT_BYTES = 1500, 4 << 20
 LEAST_PROBABILITY, LEAST_TEMPLATE = 0.5, 0.6
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -305,11 +305,12 @@ def train(background: list[str], seed: int = 13, copies: int = 60, epochs: int =
     return model
 
 
-def fit(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS, fit_bytes: int = 8000, seed: int = 23) -> LicenceModel:
-    """Train with about ``fit_rows`` corpus rows of at most ``fit_bytes`` bytes as background."""
-    n = max(1, docs.count())
+def fit(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, seed: int = 23) -> LicenceModel:
+    """Train with corpus texts of any length as background, chosen by a hash: about ``fit_rows`` at most, and about ``fit_bytes`` bytes."""
     text = F.col(text_col).cast("string")
-    rows = docs.where((F.octet_length(text) <= fit_bytes) & (unit_hash(text, seed=seed) < min(1.0, fit_rows / n))).select(text.alias("t")).distinct().collect()
+    all_ = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text).cast("long")).alias("bytes")).first()
+    share = min(1.0, fit_rows / max(1, all_["rows"]), fit_bytes / max(1, all_["bytes"] or 0))
+    rows = docs.where(text.isNotNull() & (unit_hash(text, seed=seed) < share)).select(text.alias("t")).distinct().collect()
     return train(sorted(r["t"] for r in rows))
 
 

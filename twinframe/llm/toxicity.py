@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, received, shared_model, unit_hash
+from .common import WordHasher, cut, join_small, received, shared_model, unit_hash
 from .langid import held_out
 
 #: Words in a window, and from one window's start to the next.
@@ -25,8 +25,8 @@ WORD_BITS, CHAR_BITS = 15, 16
 WORD_DIM, CHAR_DIM, HIDDEN = 4, 4, 8
 #: Parts of the labelled documents: odds are cross-fitted over them, the last calibrates.
 FOLDS = 5
-#: Bounds on labelled documents of either class for fitting, and on their length in bytes.
-FIT_ROWS, FIT_BYTES = 4000, 8000
+#: Bounds on labelled documents of either class for fitting: their number, and the bytes of their texts, on average.
+FIT_ROWS, FIT_BYTES = 4000, 8 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
@@ -144,19 +144,6 @@ class Network:
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {d: x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in ("f", "b")}
 
-    def logits(self, x: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Logit of every window of rows ``first .. first + length`` of ``x``."""
-        out = np.empty(len(first), dtype=np.float32)
-        projected = self.project(x)
-        steps = np.arange(WINDOW)[:, None]
-        for group in (np.flatnonzero(length == WINDOW), np.flatnonzero(length < WINDOW)):
-            for at in range(0, len(group), 2048):
-                own = group[at : at + 2048]
-                mask = None if length[own[0]] == WINDOW else steps < length[own]
-                index = first[own] + (steps if mask is None else np.minimum(steps, length[own] - 1))
-                out[own] = self.pool(self.run(projected, index, mask)[0], mask)[2]
-        return out
-
     def gradients(self, words, grams, starts, ends, first, length, y):
         """Loss and gradients for windows over the given words; ``y`` is 0 or 1."""
         p = self.p
@@ -394,24 +381,20 @@ def score_texts(texts: list[str], net: Network, words: Words) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Network:
-    """Train on labelled documents: about ``fit_rows`` of each class at most, chosen
-    by a hash of the id among texts of at most ``fit_bytes`` bytes."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    """Train on whole labelled documents of any length, chosen by a hash of the id: of
+    each class about ``fit_rows`` at most, and about ``fit_bytes`` bytes of text."""
+    known = cut(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("y")))
+    text = F.col(text_col).cast("string")
+    found = join_small(docs.where(text.isNotNull()).select(F.col(id_col).alias("_id"), F.octet_length(text).alias("bytes")), known, "_id")
+    counts = {r["y"]: (r["rows"], r["bytes"]) for r in found.groupBy("y").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("bytes").cast("long")).alias("bytes")).collect()}
     pick = F.lit(0.0)
-    for y, n in counts.items():
-        pick = F.when(F.col("y") == y, F.lit(min(1.0, 1.25 * fit_rows / n))).otherwise(pick)
-    # bounded by fit_rows, so it may be broadcast
-    sample = F.broadcast(known.where(unit_hash(F.col("_id"), seed=41) < pick))
-    rows = (
-        docs.where(F.octet_length(F.col(text_col).cast("string")) <= fit_bytes)
-        .join(sample, docs[id_col] == F.col("_id"))
-        .select("_id", F.col(text_col).cast("string").alias("t"), "y")
-        .collect()
-    )
+    for y, (n, size) in counts.items():
+        pick = F.when(F.col("y") == y, F.lit(min(1.0, fit_rows / n, fit_bytes / max(1, size)))).otherwise(pick)
+    sample = cut(known.where(unit_hash(F.col("_id"), seed=41) < pick))
+    rows = join_small(docs.where(text.isNotNull()).select(F.col(id_col).alias("_id"), text.alias("t")), sample, "_id").collect()
     rows = sorted({(r["_id"], r["t"], r["y"]) for r in rows})
-    y = np.array([int(y > 0) for _, _, y in rows], dtype=np.int64)
-    weights = tuple(sum(n for k, n in counts.items() if (k > 0) == bool(v)) / max(1, int((y == v).sum())) for v in (0, 1))
+    y = np.array([y for _, _, y in rows], dtype=np.int64)
+    weights = tuple(counts.get(v, (0, 0))[0] / max(1, int((y == v).sum())) for v in (0, 1))
     return train([t for _, t, _ in rows], y, weights)
 
 
