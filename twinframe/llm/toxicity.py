@@ -22,11 +22,13 @@ from .langid import held_out
 #: Words in a window, and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS = 15, 16
-WORD_DIM, CHAR_DIM, HIDDEN = 4, 4, 8
-#: Parts of the labelled documents: odds are cross-fitted over them, the last calibrates.
-FOLDS = 5
+WORD_DIM, CHAR_DIM, HIDDEN = 16, 16, 12
+#: Parts of the labelled documents: the last one calibrates, the others train.
+FOLDS = 10
 #: Bounds on labelled documents of either class for fitting: their number, and the bytes of their texts, on average.
 FIT_ROWS, FIT_BYTES = 4000, 8 << 20
+#: Labelled documents met in all epochs together, and bounds on the number of epochs.
+MEETINGS, EPOCHS = 64_000, (6, 24)
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
@@ -62,6 +64,12 @@ def word_bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
+def word_edges(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Edges for ``reduceat`` over bytes, whose even results are the words."""
+    edges = np.stack([starts, ends], axis=1).ravel()
+    return edges[:-1] if edges[-1] >= len(grams) else edges
+
+
 def window_starts(n: int) -> np.ndarray:
     """Starts of overlapping windows that cover ``n`` words, one at least if there are any."""
     if n <= 0:
@@ -72,13 +80,11 @@ def window_starts(n: int) -> np.ndarray:
 class Network:
     """Parameters, forward and backward passes; everything is float32."""
 
-    INPUT = 2 + CHAR_DIM + 1 + WORD_DIM
+    INPUT = CHAR_DIM + WORD_DIM
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.standard_normal(shape) * (1.0 / np.sqrt(shape[0]))).astype(np.float32)
-        self.word_odds = np.zeros(1 << WORD_BITS, dtype=np.float32)
-        self.char_odds = np.zeros(1 << CHAR_BITS, dtype=np.float32)
         self.p = {
             # embeddings start at zero, so words never met in training stay neutral
             "word": np.zeros((1 << WORD_BITS, WORD_DIM), dtype=np.float32),
@@ -93,19 +99,13 @@ class Network:
 
     # ---- inputs
     def inputs(self, buckets: np.ndarray, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One row a word: character odds (largest, mean), character embedding, word odds, word embedding."""
+        """One row a word: mean embedding of its characters' runs, embedding of the word."""
         x = np.empty((len(buckets), self.INPUT), dtype=np.float32)
         if not len(buckets):
             return x
-        edges = np.stack([starts, ends], axis=1).ravel()
-        edges = edges[:-1] if edges[-1] >= len(grams) else edges
         length = (ends - starts).astype(np.float32)[:, None]
-        odds = self.char_odds[grams]
-        x[:, 0] = np.maximum.reduceat(odds, edges)[::2]
-        x[:, 1] = np.add.reduceat(odds, edges)[::2] / length[:, 0]
-        x[:, 2 : 2 + CHAR_DIM] = np.add.reduceat(self.p["char"][grams], edges, axis=0)[::2] / length
-        x[:, 2 + CHAR_DIM] = self.word_odds[buckets]
-        x[:, 3 + CHAR_DIM :] = self.p["word"][buckets]
+        x[:, :CHAR_DIM] = np.add.reduceat(self.p["char"][grams], word_edges(grams, starts, ends), axis=0)[::2] / length
+        x[:, CHAR_DIM:] = self.p["word"][buckets]
         return x
 
     # ---- one direction over time-major windows of projected inputs
@@ -179,11 +179,11 @@ class Network:
                 dh = dn * z + dg @ p[f"U{d}"].T + through
             g[f"U{d}"], g[f"W{d}"], g[f"c{d}"] = gU, x.T @ dproj, dproj.sum(axis=0)
             dx += dproj @ p[f"W{d}"].T
-        spread = np.repeat(dx[:, 2 : 2 + CHAR_DIM] / (ends - starts)[:, None], ends - starts, axis=0)
+        spread = np.repeat(dx[:, :CHAR_DIM] / (ends - starts)[:, None], ends - starts, axis=0)
         inside = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) if len(starts) else np.zeros(0, int)
         g["char"], g["word"] = np.zeros_like(p["char"]), np.zeros_like(p["word"])
         np.add.at(g["char"], grams[inside], spread.astype(np.float32))
-        np.add.at(g["word"], words, dx[:, 3 + CHAR_DIM :])
+        np.add.at(g["word"], words, dx[:, CHAR_DIM:])
         return loss, g
 
 
@@ -200,7 +200,10 @@ def train(texts: list[str], labels: np.ndarray, class_weights: tuple[float, floa
     """Fit on whole labelled texts.
 
     A toxic document need be toxic in one window only, so every epoch scores
-    all windows and learns from each document's highest ones.
+    all windows and learns from each document's highest ones.  In the first
+    epoch, when nothing is learnt yet, log odds of words and characters (from
+    other folds) point at a window; they are no input of the network.  Epochs
+    fall with the number of documents (``MEETINGS``), batches grow with it.
     ``class_weights`` undo the sampling of the classes in the calibration.
     """
     rng = np.random.default_rng(seed)
@@ -208,7 +211,7 @@ def train(texts: list[str], labels: np.ndarray, class_weights: tuple[float, floa
     labels = np.asarray(labels, dtype=np.int64)
     if len(labels) < 2 * FOLDS or labels.min() == labels.max():
         return net  # nothing to tell apart; every score is the same low one
-    epochs = epochs or (5 if len(labels) > 1000 else 10)
+    epochs = epochs or int(np.clip(round(MEETINGS / len(labels)), *EPOCHS))
     docs = [words.read(t) for t in texts]
     bucket = [word_bucket(d[0]) for d in docs]
     fold = rng.permutation(len(docs)) % FOLDS
@@ -218,15 +221,12 @@ def train(texts: list[str], labels: np.ndarray, class_weights: tuple[float, floa
         pick = np.flatnonzero(own)
         return tuple(_odds([seen[i] for i in pick], labels[pick], bits) for seen, bits in ((seen_words, WORD_BITS), (seen_chars, CHAR_BITS)))
 
-    # a document never meets odds that its own label has gone into
-    odds = [tables(fold != f) for f in range(FOLDS)]
     filled = np.array([i for i, b in enumerate(bucket) if len(b)], dtype=np.int64)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
 
     def best_windows(f: int, top: int):
         """(document, start) of each document's highest windows in a fold, and its largest logit."""
-        net.word_odds, net.char_odds = odds[f]
         chosen, most, mine_all = [], [], filled[fold[filled] == f]
         for at in range(0, len(mine_all), 500):
             own = mine_all[at : at + 500]
@@ -242,12 +242,12 @@ def train(texts: list[str], labels: np.ndarray, class_weights: tuple[float, floa
         return chosen, mine_all, np.array(most, dtype=np.float32)
 
     def first_windows(f: int):
-        """Before anything is learnt, word and character odds point at windows."""
-        net.word_odds, net.char_odds = odds[f]
+        """Windows that word and character odds point at."""
+        word_odds, char_odds = tables(fold != f)  # a document never meets odds that its own label has gone into
         chosen = []
         for i in filled[fold[filled] == f]:
             d = docs[i]
-            hint = net.inputs(bucket[i], d[1], d[2], d[3])[:, [0, 2 + CHAR_DIM]].sum(axis=1)
+            hint = np.maximum.reduceat(char_odds[d[1]], word_edges(d[1], d[2], d[3]))[::2] + word_odds[bucket[i]]
             s = window_starts(len(bucket[i]))
             chosen.append((i, int(s[int(np.argmax([hint[a : a + WINDOW].max() for a in s]))])))
             if not labels[i]:
@@ -266,7 +266,6 @@ def train(texts: list[str], labels: np.ndarray, class_weights: tuple[float, floa
             batches += [(f, chosen[at : at + size]) for at in range(0, len(chosen), size)]
         for k in rng.permutation(len(batches)):
             f, part = batches[k]
-            net.word_odds, net.char_odds = odds[f]
             b, tri, st, en, first, length, y, n, m = [], [], [], [], [], [], [], 0, 0
             for i, s in part:
                 i, s = int(i), int(s)
@@ -294,7 +293,6 @@ def train(texts: list[str], labels: np.ndarray, class_weights: tuple[float, floa
     net.blank = float(np.median(most[labels[own] == 0])) if (labels[own] == 0).any() else net.blank
     if labels[own].min() != labels[own].max():
         net.scale, net.shift = _calibrate(most, labels[own], class_weights)
-    net.word_odds, net.char_odds = tables(fold >= 0)
     return net
 
 
