@@ -39,7 +39,8 @@ def test_run_from_configuration(spark, tmp_path):
     )
     stager = readers.Stager(spark, tmp_path / "staging")
     assert stager.is_stale(config.dataset("l"))
-    result = run(spark, config, tmp_path / "reports", tmp_path / "staging")[0]
+    result = run(spark, config, tmp_path / "reports", tmp_path / "staging", states=tmp_path / "states")[0]
+    assert not list((tmp_path / "states").glob("*.json"))
     n = result["numbers"]
     assert (n["matched_rows"], n["only_in_left"], n["only_in_right"], n["value_differences"]) == (2, 1, 1, 1)
     assert all(p.exists() for p in result["files"].values())
@@ -70,3 +71,34 @@ def test_records(tmp_path):
     store = Recovery(tmp_path)
     store.save(RunState("r", ["load_config"]))
     assert store.resume_point(store.load("r")) == "validate_config" and store.load("zz") is None
+
+
+def test_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    from twinframe import cli
+
+    (tmp_path / "l.csv").write_text("id,day,v\n1,1/5/2024,a\n2,2024-06-01,b\n3,12/30/2025,c\n4,,d\n")
+    (tmp_path / "r.csv").write_text("id,v\n1,a\n2,x\n3,c\n")
+    sets = {n: {"path": str(tmp_path / f"{n}.csv"), "key_columns": ["id"]} for n in ("l", "r")}
+    sets["l"]["date_filter"] = {"Day": "2024-12-31"}
+    config = RunConfig.from_dict({"datasets": sets, "comparisons": [{"left_dataset": "l", "right_dataset": "r"}, {"left_dataset": "r", "right_dataset": "l"}]})
+    places = {"reports": tmp_path / "reports", "staging": tmp_path / "staging", "states": tmp_path / "states"}
+    plain, calls = cli.export, []
+
+    def breaks(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("disk full")
+        return plain(*args)
+
+    monkeypatch.setattr(cli, "export", breaks)
+    with pytest.raises(RuntimeError):
+        run(spark, config, **places)
+    name = next((tmp_path / "states").glob("*.json")).stem
+    state = Recovery(tmp_path / "states").load(name)
+    assert state.failed_step == "run_comparisons" and "disk full" in state.error
+    again = run(spark, config, resume=name, **places)
+    assert len(again) == 1 and len(calls) == 3 and not list((tmp_path / "states").glob("*.json"))
+    # of the left rows two are left by the date filter
+    assert again[0]["numbers"]["total_right"] == 2 and again[0]["numbers"]["matched_rows"] == 2
+    with pytest.raises(ValueError):
+        run(spark, config, resume="none", **places)

@@ -26,7 +26,7 @@ MOJIBAKE = {
     "Ã§": "ç",
     "Ã±": "ñ",
     "â€™": "'",
-    'â€"': "–",
+    'â€"': "—",
     "â€œ": '"',
     "â€\x9d": '"',
 }

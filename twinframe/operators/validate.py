@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.coerce import as_number
+from ..functions.coerce import as_number, as_time
 from .keys import duplicate_examples, key_counts
 
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
@@ -38,6 +38,13 @@ class Report:
         self.statistics |= other.statistics
 
 
+def issue_table(df: DataFrame, *validators: Validator) -> DataFrame:
+    """One row an issue: severity, category, column_name, count (null where an issue has none)."""
+    issues = [i for v in validators for i in v.validate(df).issues]
+    number = lambda d: next((int(d[k]) for k in ("numeric", "count", "groups") if k in d), None)
+    return df.sparkSession.createDataFrame([(i.severity, i.category, i.details.get("column"), number(i.details)) for i in issues], "severity string, category string, column_name string, count bigint")
+
+
 class Validator(ABC):
     @abstractmethod
     def validate(self, df: DataFrame) -> Report: ...
@@ -132,6 +139,18 @@ def null_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     return one.select(F.inline(rows))
 
 
+def type_histogram(df: DataFrame) -> DataFrame:
+    """One row a type: data_type, columns."""
+    kinds = [k for _, k in df.dtypes]
+    return df.sparkSession.createDataFrame([(k, kinds.count(k)) for k in sorted(set(kinds))], "data_type string, columns bigint")
+
+
+def on_or_before(df: DataFrame, column: str, cutoff: str) -> DataFrame:
+    """Rows whose date in ``column``, read in any of the known formats, is not after ``cutoff``; rows without a date go."""
+    day = as_time(F.col(f"`{column}`"), df.schema[column].dataType)
+    return df.where(day <= F.lit(cutoff).cast("timestamp_ntz"))
+
+
 def validate(df: DataFrame, keys: Sequence[str] = (), expected: Mapping[str, str] | None = None, fail_fast: bool = False, sample: int | None = None) -> Report:
     """Schema, types, keys and duplicate rows in this order; ``sample`` rows only if given."""
     rows = df.limit(sample) if sample else df

@@ -18,12 +18,13 @@ class DatasetConfig:
     converters: dict[str, str] = field(default_factory=dict)
     column_map: dict[str, str] = field(default_factory=dict)
     custom_sql: str | None = None
+    date_filter: dict[str, str] = field(default_factory=dict)
     chunk_size: int = 10000
 
     def __post_init__(self):
         for what in ("path", "name"):
             if not getattr(self, what):
-                raise ValueError(f"Dataset {what} is required")
+                raise ValueError(f"a data set needs a {what}")
 
 
 @dataclass

@@ -6,13 +6,16 @@ The standard pair is two views of ``orders`` that differ in known ways; see
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .functions import coerce, text
+from .functions.names import rename_all
 from .operators import diff, keys, profile, validate
-from .sources.readers import custom_sql
+from .sources.readers import custom_sql, read_csv
 
 ENTIRE_COLUMN_VALUES = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
@@ -211,6 +214,63 @@ def _mapped(spark: SparkSession, sf_dir: str) -> diff.Comparison:
     return diff.Comparison(left, right, keys=["supplier_id"], column_map={"vendor_no": "supplier_id", "vendor_name": "name", "vendor_balance": "balance"})
 
 
+def _mapped_back(spark: SparkSession, sf_dir: str) -> diff.Comparison:
+    """The same pair the other way round: the map still goes from the right side's names to the left's."""
+    c = _mapped(spark, sf_dir)
+    return diff.Comparison(c.right, c.left, keys=["vendor_no"], column_map={"supplier_id": "vendor_no", "name": "vendor_name", "balance": "vendor_balance"})
+
+
+def _holed(spark: SparkSession, sf_dir: str) -> diff.Comparison:
+    """The standard pair with a null in every thirtieth key."""
+    sides = [t.select(F.when(F.col("o_orderkey") % 30 != 1, F.col("o_orderkey")).cast("string").alias("k"), "o_orderstatus") for t in pair(spark, sf_dir)]
+    return diff.Comparison(*sides, keys=["k"])
+
+
+def _by_flag(spark: SparkSession, sf_dir: str) -> diff.Comparison:
+    """Lines of an order by return flag, against counts that are off for every fourth order."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("lines"))
+    k = F.col("l_orderkey")
+    right = n.withColumn("lines", F.when(k % 8 == 0, F.lit(None)).when(k % 4 == 0, F.col("lines") + 1).otherwise(F.col("lines")))
+    return diff.Comparison(n, right, keys=["l_orderkey", "l_returnflag"], tolerance=0.0)
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as CSV with quotes, line ends and nulls, written to the warehouse folder and read again."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/csv_{uuid.uuid4().hex[:12]}"
+    brand = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("p_brand")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), F.concat("p_name", F.lit(', "quoted"\nline')).alias("p_name"), brand)
+    rows.write.options(header=True, escape='"').csv(folder)
+    return read_csv(spark, folder, clean=False)
+
+
+SHAPED = ["mail", "brand", "price", "day", "words"]
+#: Endings in a broken encoding.
+BROKEN = " caf\u00c3\u00a9 \u00e2\u20ac\u2122 \u00e2\u20ac\" \u00a0."
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of known shapes: each column has one for at least 80 % of its rows but the last."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.when(k % 10 == 0, F.lit("none")).otherwise(F.concat(F.lit("u"), k.cast("string"), F.lit("@mail.example"))).alias("mail"),
+        F.col("p_brand").alias("brand"),
+        F.when(k % 6 != 0, F.concat(F.lit("$"), k.cast("string"), F.lit(".50"))).alias("price"),
+        F.when(k % 7 == 0, F.lit("soon")).when(k % 2 == 0, F.lit("2024-02-03")).otherwise(F.lit("2/3/2024")).alias("day"),
+        F.when(k % 9 == 0, F.concat("p_name", F.lit(BROKEN))).when(k % 3 == 0, F.lit("https://a.example/x")).otherwise(F.col("p_name")).alias("words"),
+    )
+
+
+SHAPED_SQL = f"""H AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'none' ELSE 'u' || p_partkey || '@mail.example' END AS mail, p_brand AS brand,
+  CASE WHEN p_partkey % 6 <> 0 THEN '$' || p_partkey || '.50' END AS price,
+  CASE WHEN p_partkey % 7 = 0 THEN 'soon' WHEN p_partkey % 2 = 0 THEN '2024-02-03' ELSE '2/3/2024' END AS day,
+  CASE WHEN p_partkey % 9 = 0 THEN p_name || '{BROKEN}' WHEN p_partkey % 3 = 0 THEN 'https://a.example/x' ELSE p_name END AS words FROM part)"""
+
+
+def _pattern_sql(c: str) -> str:
+    shapes = " ".join(f"WHEN count(*) FILTER (WHERE regexp_matches({c}, '{p}')) >= 0.8 * count({c}) THEN '{n}'" for n, p in profile.PATTERNS.items())
+    return f"SELECT '{c}' AS column_name, CASE WHEN count({c}) = 0 THEN NULL {shapes} END AS pattern, count(*) FILTER (WHERE regexp_matches({c}, '{profile.MOJIBAKE_MARKS}')) AS broken_text FROM H"
+
+
 def queries() -> dict:
     on_pair = lambda f, **o: lambda spark, d: f(compared(spark, d, **o))
     x = lambda f: lambda spark, d: f(_texts(spark, d))
@@ -264,12 +324,34 @@ def queries() -> dict:
         "profile_percentiles": of("orders", lambda t: profile.numeric_statistics(t, ["o_totalprice", "o_custkey"])),
         "profile_top_values": of("orders", lambda t: profile.top_values(t, "o_orderpriority", 3)),
         "profile_outliers": of("events", lambda t: profile.outliers(t, "value", "event_id")),
-        "profile_patterns": lambda spark, d: profile.patterns(_texts(spark, d), ["day", "flag"]),
+        "profile_patterns": lambda spark, d: profile.patterns(_shaped(spark, d), SHAPED),
         "key_candidates": of("orders", lambda t: profile.key_candidates(t, ["o_orderkey", "o_custkey", "o_orderstatus"])),
         "composite_candidates": of("conversations", lambda t: profile.composite_candidates(t, ["conv_id", "turn", "role"])),
         "value_overlap": lambda spark, d: profile.value_overlap(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey"),
         "custom_sql_source": of("part", lambda t: custom_sql(t.sparkSession, t, "SELECT p_brand, count(*) AS parts, max(p_size) AS largest FROM {table} GROUP BY p_brand;", "parts")),
-        "cutoff_filter": of("orders", lambda t: t.where(F.col("o_orderdate") <= F.lit("1995-06-30").cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("kept"), F.max("o_orderdate").alias("latest"))),
+        "cutoff_filter": of("orders", lambda t: validate.on_or_before(t, "o_orderdate", "1995-06-30").agg(F.count(F.lit(1)).alias("kept"), F.max("o_orderdate").alias("latest"))),
+        "cutoff_text_dates": x(lambda t: validate.on_or_before(t.withColumn("day", F.when(F.col("id") % 3 == 0, F.lit("1/5/2025")).otherwise(F.col("day"))), "day", "2024-12-31").select("id")),
+        "normalize_boolean": x(lambda t: t.select("id", text.normalize_boolean(F.concat(F.lit(" "), "flag")).alias("flag"))),
+        "boolean_keep_yes_no": x(lambda t: t.select("id", text.boolean_t_f("flag", keep_yes_no=True).alias("flag"))),
+        "safe_cast": x(lambda t: t.select("id", text.safe_cast("flag", "int").cast("string").alias("number"))),
+        "display_text": x(lambda t: t.select("id", text.normalize_for_display(F.concat("path", F.lit(BROKEN))).alias("shown"))),
+        "text_equality": x(lambda t: t.select("id", text.normalized_equal("path", F.when(F.col("id") % 2 == 0, F.regexp_replace("path", " ", "\u00a0  ")).otherwise(F.concat("path", F.lit("\u2019")))).alias("same"))),
+        "frame_normalize": of("part", lambda t: text.normalize_frame(t.select("p_partkey", F.concat(F.lit("  "), F.regexp_replace("p_name", " ", "\u00a0 \t")).alias("p_name"), F.concat("p_brand", F.lit("\u200b")).alias("p_brand")))),
+        "collision_safe_rename": of("part", lambda t: rename_all(t.select(F.col("p_partkey").alias("Part Key"), F.col("p_name").alias("part-key"), F.col("p_brand").alias("PART  KEY!")))),
+        "csv_round_trip": _csv_round_trip,
+        "validate_schema": x(lambda t: validate.issue_table(t.select("money", "flag", "path"), validate.SchemaValidator())),
+        "validate_types": of("orders", lambda t: validate.issue_table(t.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus"), validate.TypeValidator({"o_orderkey": "string"}))),
+        "validate_keys": lambda spark, d: validate.issue_table(pair(spark, d)[1], validate.KeyValidator(["o_orderstatus"])),
+        "type_histogram": of("customer", lambda t: validate.type_histogram(t.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"))),
+        "empty_relation_guard": on_pair(lambda c: c.cells(), exclude=ENTIRE_COLUMN_VALUES),
+        "only_in_limited": on_pair(lambda c: c.only_in("left").orderBy("o_orderkey").limit(50)),
+        "only_in_null_keys": lambda spark, d: _holed(spark, d).only_in("left"),
+        "two_sided_key_check": lambda spark, d: keys.key_counts(pair(spark, d)[0], ["o_custkey"]).withColumn("side", F.lit("left")).unionByName(keys.key_counts(pair(spark, d)[1], ["o_custkey"]).withColumn("side", F.lit("right"))),
+        "composite_key_diff": lambda spark, d: _by_flag(spark, d).cells(),
+        "excluded_columns": on_pair(lambda c: c.column_stats(0.0), exclude=["o_orderdate", "o_totalprice"]),
+        "strict_text_rules": on_pair(lambda c: c.cells(), values=["o_orderpriority"], rules=coerce.TextRules(False, False)),
+        "column_stats_exact": on_pair(lambda c: c.column_stats(0.0)),
+        "mapped_from_right": lambda spark, d: _mapped_back(spark, d).cells(0.01),
     }
 
 
@@ -332,10 +414,32 @@ def oracle_sql() -> dict[str, str]:
         "profile_percentiles": f"{stats_of('o_totalprice')} UNION ALL {stats_of('o_custkey')}",
         "profile_top_values": "SELECT o_orderpriority AS value, count(*) AS count, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM orders), 2) AS percent FROM orders GROUP BY 1 ORDER BY count DESC, value LIMIT 3",
         "profile_outliers": "WITH Q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events) SELECT event_id AS key, value FROM events, Q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)",
-        "profile_patterns": "SELECT * FROM (VALUES ('day', NULL, 0::BIGINT), ('flag', NULL, 0::BIGINT)) t(column_name, pattern, broken_text)",
+        "profile_patterns": f"WITH {SHAPED_SQL} " + " UNION ALL ".join(map(_pattern_sql, SHAPED)),
         "key_candidates": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) = count(*) AS is_unique FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")),
         "composite_candidates": " UNION ALL ".join(pairs_of(a, b) for a, b in (("conv_id", "turn"), ("conv_id", "role"), ("turn", "role"))),
         "value_overlap": "SELECT (SELECT count(DISTINCT o_custkey) FROM orders) AS left_distinct, (SELECT count(DISTINCT c_custkey) FROM customer) AS right_distinct, (SELECT count(*) FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer)) AS shared",
         "custom_sql_source": "SELECT p_brand, count(*) AS parts, max(p_size) AS largest FROM part GROUP BY p_brand",
         "cutoff_filter": "SELECT count(*) AS kept, max(o_orderdate) AS latest FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-30'",
+        "cutoff_text_dates": f"{tx} SELECT id FROM X WHERE id % 3 <> 0",
+        "normalize_boolean": f"{tx} SELECT id, CASE WHEN lower(trim(flag)) IN ('t','true','1','yes','y') THEN 't' WHEN lower(trim(flag)) IN ('f','false','0','no','n') THEN 'f' END AS flag FROM X",
+        "boolean_keep_yes_no": f"{tx} SELECT id, CASE WHEN lower(flag) IN ('yes','no') THEN lower(flag) WHEN lower(flag) IN ('t','true','1') THEN 't' WHEN lower(flag) IN ('f','false','0') THEN 'f' END AS flag FROM X",
+        "safe_cast": f"{tx} SELECT id, CASE WHEN flag IN ('0', '1') THEN flag END AS number FROM X",
+        "display_text": f"{tx} SELECT id, replace(replace(replace(replace(path || '{BROKEN}', chr(160), ' '), chr(195) || chr(169), 'é'), chr(226) || chr(8364) || chr(8482), chr(39)), chr(226) || chr(8364) || chr(34), '—') AS shown FROM X",
+        "text_equality": f"{tx} SELECT id, id % 2 = 0 AS same FROM X",
+        "frame_normalize": "SELECT p_partkey, p_name, p_brand FROM part",
+        "collision_safe_rename": "SELECT p_partkey AS part_key, p_name AS part_key_2, p_brand AS part_key_3 FROM part",
+        "csv_round_trip": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || ', \"quoted\"' || chr(10) || 'line' AS p_name, CASE WHEN p_size % 2 = 0 THEN p_brand END AS p_brand FROM part",
+        "validate_schema": f"{tx} SELECT 'WARNING' AS severity, 'schema' AS category, c AS column_name, n AS count FROM (SELECT 'money' AS c, count({sql_number('money')}) AS n, count(money) AS filled FROM X UNION ALL SELECT 'flag', count({sql_number('flag')}), count(flag) FROM X UNION ALL SELECT 'path', count({sql_number('path')}), count(path) FROM X) WHERE n > 0 AND n < filled",
+        "validate_types": "SELECT 'WARNING' AS severity, 'dtype' AS category, 'o_orderkey' AS column_name, CAST(NULL AS BIGINT) AS count UNION ALL SELECT 'INFO', 'dtype', 'o_custkey', NULL FROM orders HAVING count(o_custkey) = count(*)",
+        "validate_keys": f"WITH {PAIR_SQL} SELECT 'ERROR' AS severity, 'key' AS category, 'o_orderstatus' AS column_name, count(*) AS count FROM R WHERE o_orderstatus IS NULL HAVING count(*) > 0 UNION ALL SELECT 'WARNING', 'key', NULL, count(*) FROM (SELECT o_orderstatus FROM R WHERE o_orderstatus IS NOT NULL GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0",
+        "type_histogram": "SELECT CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE lower(column_type) END AS data_type, count(*) AS columns FROM (DESCRIBE SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer) GROUP BY 1",
+        "empty_relation_guard": "SELECT o_orderkey AS \"Key\", '' AS \"Differing Column\", '' AS \"Left Value\", '' AS \"Right Value\", '' AS \"Difference Type\" FROM orders WHERE FALSE",
+        "only_in_limited": f"SELECT * FROM ({lone('L', 'R')}) ORDER BY o_orderkey LIMIT 50",
+        "only_in_null_keys": f"WITH {PAIR_SQL} SELECT CASE WHEN o_orderkey % 30 <> 1 THEN CAST(o_orderkey AS VARCHAR) END AS k, o_orderstatus FROM L WHERE o_orderkey % 30 = 1 OR o_orderkey NOT IN (SELECT o_orderkey FROM R)",
+        "two_sided_key_check": f"WITH {PAIR_SQL} SELECT 'left' AS side, * FROM ({unique('L', 'o_custkey')}) UNION ALL SELECT 'right', * FROM ({unique('R', 'o_custkey')})",
+        "composite_key_diff": "SELECT l_orderkey || ' | ' || l_returnflag AS \"Key\", 'lines' AS \"Differing Column\", CAST(n AS VARCHAR) AS \"Left Value\", CASE WHEN l_orderkey % 8 <> 0 THEN CAST(n + 1 AS VARCHAR) END AS \"Right Value\", CASE WHEN l_orderkey % 8 = 0 THEN 'Missing in Right' ELSE 'Different Values' END AS \"Difference Type\" FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) WHERE l_orderkey % 4 = 0",
+        "excluded_columns": f"{j}, {_stats_sql(0)} SELECT * FROM S WHERE column_name NOT IN ('o_orderdate', 'o_totalprice')",
+        "strict_text_rules": f"WITH {PAIR_SQL}, {_joined(['o_orderpriority'])} SELECT k AS \"Key\", 'o_orderpriority' AS \"Differing Column\", l_o_orderpriority AS \"Left Value\", r_o_orderpriority AS \"Right Value\", 'Different Values' AS \"Difference Type\" FROM J WHERE l_o_orderpriority <> r_o_orderpriority",
+        "column_stats_exact": f"{j}, {_stats_sql(0)} SELECT * FROM S",
+        "mapped_from_right": f"WITH {mapped} SELECT ' ' || k || ' ' AS \"Key\", 'vendor_balance' AS \"Differing Column\", CAST(b AS VARCHAR) AS \"Left Value\", CAST(a AS VARCHAR) AS \"Right Value\", 'Different Values' AS \"Difference Type\" FROM M WHERE abs(a - b) > 0.01",
     }

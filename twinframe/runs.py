@@ -104,6 +104,7 @@ class RunState:
     failed_step: str | None = None
     error: str | None = None
     staged: list[str] = field(default_factory=list)
+    reported: list[str] = field(default_factory=list)
     updated: float = field(default_factory=time.time)
 
 

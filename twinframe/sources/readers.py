@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import find_column, normal_name, normal_names, pandas_spelling, rename_all, table_name
 from ..functions.text import CONVERTERS, NORMALIZERS, normalize_frame
+from ..operators.validate import on_or_before
 from ..plans.config import DatasetConfig
 
 # Rows in a chunk by kind of file.
@@ -189,6 +190,8 @@ class Stager:
             notes.write_text(json.dumps({"source_columns": columns, "source_mtime": Path(config.path).stat().st_mtime, "dataset_name": config.name, "created_at": time.time()}), encoding="utf-8")
         df = self.spark.read.parquet(str(staged))
         dropped = {normal_name(c) for c in config.exclude_columns}
+        for column, cutoff in config.date_filter.items():
+            df = on_or_before(df, find_column(column, df.columns), str(cutoff))
         df = df.drop(*[c for c in df.columns if c in dropped])
         df.createOrReplaceTempView(table_name(config.name))
         return df
