@@ -300,6 +300,50 @@ def test_toxicity(spark, docs, none):
     assert len(unlearnt) == len(ROWS) and not any(r["predicted"] for r in unlearnt)
 
 
+def test_forward_brute_force():
+    """Logits of all overlapping windows against one word and one unit at a time."""
+    net, w = toxicity.Network(2), toxicity.Words(WordHasher())
+    rng = np.random.default_rng(8)
+    net.p = {k: (0.3 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in net.p.items()}
+    texts = [" ".join(f"Wörd{rng.integers(30)}!" for _ in range(n)) for n in (75, 1, 32, 33)]
+    docs = [w.read(t) for t in texts]
+    logit, which, begin = toxicity._score(docs, net)
+    H, p = toxicity.HIDDEN, {k: v.astype(np.float64) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def naive(d, start):
+        rows = range(start, min(start + toxicity.WINDOW, len(d[0])))
+        xs = [np.concatenate([p["char"][d[1][d[2][i] : d[3][i]]].mean(axis=0), p["word"][toxicity.word_bucket(d[0][i : i + 1])[0]]]) for i in rows]
+        states = [np.zeros(2 * H) for _ in xs]
+        for name, order, at in (("f", range(len(xs)), 0), ("b", reversed(range(len(xs))), H)):
+            h = np.zeros(H)
+            for t in order:
+                a, g = xs[t] @ p[f"W{name}"] + p[f"c{name}"], h @ p[f"U{name}"]
+                z, r = sig(a[:H] + g[:H]), sig(a[H : 2 * H] + g[H : 2 * H])
+                c = np.tanh(a[2 * H :] + r * g[2 * H :])
+                h = z * h + (1 - z) * c
+                states[t][at : at + H] = h
+        e = np.exp([s @ p["att"] for s in states])
+        return sum(x / e.sum() * s for x, s in zip(e, states)) @ p["out"] + p["bias"][0]
+
+    assert [list(begin[which == i]) for i in range(4)] == [[0, 16, 32, 48], [0], [0], [0, 16]]
+    for k in range(len(logit)):
+        assert logit[k] == pytest.approx(naive(docs[which[k]], int(begin[k])), rel=1e-3, abs=1e-4)
+
+
+def test_language_choice_brute_force():
+    counter, size = langid.GramCounter(), 60
+    profiles = langid.Profiles({"fr": counter.ranked(FR, size), "en": counter.ranked(EN, size), "xx": counter.ranked("zzz yyy", size)}, size)
+    for text in (EN, FR, "the chat is dans", "zz", "q", FR + EN):
+        own = list(counter.ranked(text, size))
+        apart = {}
+        for lang in ("en", "fr", "xx"):
+            ranks = {g: i for i, g in enumerate(counter.ranked({"en": EN, "fr": FR, "xx": "zzz yyy"}[lang], size))}
+            apart[lang] = sum(abs(i - ranks[g]) if g in ranks else size for i, g in enumerate(own))
+        best = min(sorted(apart), key=apart.get)
+        assert profiles.predict(np.array(own)) == (best, pytest.approx(1 - apart[best] / (size * len(own))))
+
+
 def test_gradients():
     net, w = toxicity.Network(1), toxicity.Words(WordHasher())
     rng = np.random.default_rng(0)
@@ -620,6 +664,18 @@ def test_pieces(docs, none, monkeypatch):
     assert pieces.encode_pieces(none, path).count() == 0
 
 
+def test_pipeline_edges(spark, none, docs):
+    """Every stage on an empty table, and with columns that clash with the operators' own."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    pytest.importorskip("public_tokenizers")
+    clash = docs.limit(30).withColumns({c: F.lit("z") for c in ("key", "doc", "page", "host", "h", "_t", "stratum", "rate", "copies", "marked")})
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, "")
+        assert out.columns == clash.columns and all(r["key"] == "z" for r in out.select("key").collect())
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     P = pytest.importorskip("public_tokenizers")
