@@ -160,7 +160,9 @@ def test_language_floor(spark):
     assert kept == set(range(60))
 
 
-def test_language_grams_brute_force():
+@pytest.mark.parametrize("chunk", [1, 2, 3, 5, 1 << 20])
+def test_language_grams_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(langid, "CHUNK", chunk)
     text = "Ab, bà! x"
     spaced = " ab bà x "
     want = collections.Counter(c for c in spaced if c != " ")
@@ -171,6 +173,15 @@ def test_language_grams_brute_force():
     assert dict(zip(keys.tolist(), counts.tolist())) == {code(g): n for g, n in want.items()}
 
 
+def test_language_fit_sample_is_bounded(spark):
+    rows = [(i, EN, "en") for i in range(400)] + [(400 + i, f"{FR} {i}", "fr") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langid.fit_profiles(docs, fit_rows=40).languages == ["en", "fr"]
+    # of 400 copies about 40 are drawn, not all or none
+    drawn = docs.where("lang = 'en'").select((langid.unit_hash(docs.doc_id, docs.text, seed=5) * 400 < 40).alias("x")).where("x").count()
+    assert 20 < drawn < 65
+
+
 def shingles(t, k):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import cut, join_small, unit_hash
 
 #: Bound on labelled rows of each language that profiles are fitted on, on average.
 FIT_ROWS = 1500
@@ -39,14 +39,20 @@ class GramCounter:
         return self.letter[codes]
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of the whole text and how often they occur."""
+        """Distinct n-grams of the whole text and how often they occur; chunks go on from the two characters before them."""
+        text = text.lower()
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        at = 0
-        while at < len(text):
-            # a chunk ends at a space, as no n-gram reaches past a word's edge
-            end = at + CHUNK if (space := text.find(" ", at + CHUNK)) < 0 or space > at + 2 * CHUNK else space
-            found.append(self._chunk(text[at:end]))
-            at = end
+        tail = np.array([32], dtype=np.int64)
+        for at in range(0, len(text), CHUNK):
+            codes = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            end = [] if at + CHUNK < len(text) else [32]
+            joined = np.concatenate([tail, np.where(self._letters(codes), codes, 32), end]).astype(np.int64)
+            # runs of other characters become one space, which marks the edge of a word
+            keep = np.concatenate([[True], (joined[1:] != 32) | (joined[:-1] != 32)])
+            keep[: len(tail)] = True
+            joined = joined[keep]
+            found.append(self._count(joined, len(tail)))
+            tail = joined[-2:]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(found) == 1:
@@ -55,19 +61,14 @@ class GramCounter:
         distinct, where = np.unique(keys, return_inverse=True)
         return distinct, np.bincount(where, weights=np.concatenate([c for _, c in found])).astype(np.int64)
 
-    def _chunk(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        codes = np.where(self._letters(codes), codes, 32)
-        # runs of other characters become one space, which marks the edge of a word
-        codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])] if len(codes) else codes
-        codes = np.concatenate([[32], codes[int(codes[0] == 32) :], [32]]) if len(codes) else codes
-        if not (codes != 32).any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        one = codes[codes != 32]
-        two = (codes[:-1] << 21) | codes[1:]
-        three = (two[:-1] << 21) | codes[2:]
-        three = three[codes[1:-1] != 32]
-        return np.unique(np.concatenate([one, two, three]), return_counts=True)
+    def _count(self, codes: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams that end in ``codes[new:]``."""
+        one = codes[new:]
+        two = (codes[new - 1 : -1] << 21) | one
+        at = max(new, 2)
+        three = (codes[at - 2 : len(codes) - 2] << 42) | (codes[at - 1 : len(codes) - 1] << 21) | codes[at:]
+        three = three[codes[at - 1 : len(codes) - 1] != 32]
+        return np.unique(np.concatenate([one[one != 32], two, three]), return_counts=True)
 
     def ranked(self, text: str, n: int = PROFILE) -> np.ndarray:
         keys, counts = self.grams(text)
@@ -105,21 +106,22 @@ class Profiles:
         return self.languages[best], float(1.0 - apart[best] / (self.size * len(grams)))
 
 
-def fit_profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS, size: int = PROFILE, seed: int = 5) -> Profiles:
+def fit_profiles(
+    labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", fit_rows: int = FIT_ROWS, size: int = PROFILE, seed: int = 5, id_col: str = "doc_id"
+) -> Profiles:
     """Profiles from labelled rows; null labels and null texts teach nothing.
 
     About ``fit_rows`` rows of each language are used (all, if there are fewer),
-    chosen by a hash of the text; n-grams are counted in the executors and only
-    the top ``size`` of each language come to the driver.
+    chosen by a hash of id and text, so that many copies of one text are not
+    taken all at once; n-grams are counted in the executors and only the top
+    ``size`` of each language come to the driver.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    share = {r["lang"]: min(1.0, fit_rows / r["count"]) for r in rows.groupBy("lang").count().collect()}
-    if not share:
+    text = F.col(text_col).cast("string")
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), unit_hash(F.col(id_col), text, seed=seed).alias("draw"))
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    if not counts.take(1):
         return Profiles({}, size)
-    pick: Column = F.lit(0.0)
-    for lang, s in share.items():
-        pick = F.when(F.col("lang") == lang, F.lit(s)).otherwise(pick)
-    sample = rows.where(unit_hash(F.col("text"), seed=seed) < pick)
+    sample = join_small(rows, counts, "lang").where(F.col("draw") * F.col("rows") < fit_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = GramCounter()
@@ -197,7 +199,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not given): encoded data, random letters, scripts without a profile.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    profiles = fit_profiles(docs, lang_col, text_col)
+    profiles = fit_profiles(docs, lang_col, text_col, id_col=id_col)
     floor = score_floor(docs, profiles, id_col, text_col, lang_col) if min_score is None else min_score
     found = predict_language(rows, profiles, keep=("doc",))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)).select("doc.*")
