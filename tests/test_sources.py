@@ -102,3 +102,34 @@ def test_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert again[0]["numbers"]["total_right"] == 2 and again[0]["numbers"]["matched_rows"] == 2
     with pytest.raises(ValueError):
         run(spark, config, resume="none", **places)
+
+
+def test_csv_quotes_over_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,v\n1,"one\ntwo"\n2,"he said ""no"""\n', encoding="utf-8-sig")
+    (tmp_path / "b.csv").write_text('id,v\n1,one\n2,"he said ""no"""\n', encoding="utf-8-sig")
+    (tmp_path / "c.csv").write_text("")
+    assert readers.csv_facts(spark, tmp_path / "a.csv") == (True, True)
+    assert readers.csv_facts(spark, tmp_path / "b.csv") == (True, False)
+    assert readers.csv_facts(spark, tmp_path / "c.csv") == (True, False)
+    assert [tuple(r) for r in readers.read_csv(spark, tmp_path / "a.csv", clean=False).collect()] == [("1", "one\ntwo"), ("2", 'he said "no"')]
+    b = readers.read_csv(spark, tmp_path / "b.csv", clean=False)
+    assert b.columns == ["id", "v"] and [tuple(r) for r in b.collect()] == [("1", "one"), ("2", 'he said "no"')]
+
+
+def test_report_parts(spark, tmp_path):
+    import csv
+
+    from twinframe.sources import reports
+
+    df = spark.range(95).selectExpr("id as `a \"b\"`", "concat('x,', id) as v").orderBy("v")
+    want = sorted(f"x,{i}" for i in range(95))
+    path = reports.write_csv(df, tmp_path / "one.csv", rows=4)
+    rows = list(csv.reader(path.open()))
+    assert rows[0] == ['a "b"', "v"] and [r[1] for r in rows[1:]] == want
+    parts = reports.write_csv_parts(df, tmp_path / "many.csv", rows=30)
+    assert parts[0].name == "many_part001.csv" and len(parts) >= 4
+    read = [list(csv.reader(p.open())) for p in parts]
+    assert all(r[0] == ['a "b"', "v"] and len(r) <= 31 for r in read) and [r[1] for p in read for r in p[1:]] == want
+    none = reports.write_csv_parts(df.where("v is null"), tmp_path / "none.csv")
+    assert len(none) == 1 and none[0].read_text() == '"a ""b""","v"\n'
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(["one.csv", "none_part001.csv", *[p.name for p in parts]])

@@ -14,7 +14,7 @@ from .functions.names import normal_name
 from .operators.diff import Comparison
 from .operators.validate import validate
 from .plans.config import RunConfig
-from .runs import Lineage, Metrics, Recovery, RunState
+from .runs import JsonLines, Lineage, Metrics, Recovery, RunState
 from .sources.readers import Stager, headers
 from .sources.reports import export, run_folder
 
@@ -83,6 +83,7 @@ def _run(spark, config, reports, staging, strict, log, metrics, lineage, stager,
         lineage.comparison(c.left_dataset, c.right_dataset, **numbers)
         lineage.save(folder / "lineage.json")
         metrics.save(folder / "metrics.json")
+        log.info("%s is reported in %s", pair, folder, extra={"context": numbers})
         results.append({"numbers": numbers, "files": files})
         state.reported.append(pair)
         store.save(state)
@@ -95,10 +96,13 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--strict", action="store_true", help="stop on errors of validation")
     parser.add_argument("--cutoff", metavar="COLUMN=DATE", help="leave out rows of every data set that has the column and a later date in it")
     parser.add_argument("--resume", metavar="RUN", help="go on with a run that stopped")
+    parser.add_argument("--log", metavar="FILE", help="add records to this file, a line of JSON each")
     parser.add_argument("--create-sample", action="store_true", help="write sample_config.yaml and stop")
     parser.add_argument("--version", action="version", version=VERSION)
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO)
+    if args.log:
+        logging.getLogger("twinframe").addHandler(JsonLines(args.log))
     if args.create_sample:
         Path("sample_config.yaml").write_text(SAMPLE, encoding="utf-8")
         return 0

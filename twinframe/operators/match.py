@@ -1,4 +1,7 @@
-"""Matching columns of two tables and turning the matches into a configuration.  Works on names and small statistics, on the driver."""
+"""Matching columns of two tables and turning the matches into a configuration.
+
+The matchers work on names and small statistics, on the driver; the statistics are aggregated in the executors.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
 from difflib import SequenceMatcher
 
-from ..functions.names import normal_name, normal_names
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.names import common_names, normal_name, normal_names
+from .keys import KeyCheck, KeyValidationError, check_key
+from .profile import inferred_types, patterns, profile
 
 # Names that mean the same, squeezed to letters and digits.
 SYNONYMS: dict[str, tuple[str, ...]] = {
@@ -131,6 +139,79 @@ def smart_match(left: Mapping[str, ColumnFacts], right: Mapping[str, ColumnFacts
     }
 
 
+def column_facts(df: DataFrame, values: int = 100) -> dict[str, ColumnFacts]:
+    """What :func:`smart_match` needs of every column of a table: one aggregation a question, at most ``values`` values a column (the most frequent, ties by value)."""
+    types = inferred_types(df)
+    shapes = {r["column_name"]: r["pattern"] for r in patterns(df, [c for c, t in df.dtypes if t == "string"]).collect()} if any(t == "string" for _, t in df.dtypes) else {}
+    out = {}
+    for r in profile(df, exact=False).collect():
+        c = r["column_name"]
+        counts = df.select(F.col(f"`{c}`").cast("string").alias("value")).where("value is not null").groupBy("value").count()
+        top = frozenset(x["value"] for x in counts.orderBy(F.col("count").desc(), "value").limit(values).collect())
+        out[c] = ColumnFacts(types[c], shapes.get(c), min(1.0, r["cardinality"]), r["null_percent"], top)
+    return out
+
+
+def match_tables(left: DataFrame, right: DataFrame, least: float = 0.5) -> dict:
+    """:func:`smart_match` of two tables, with both sides' types and patterns for :func:`generate_config`."""
+    a, b = column_facts(left), column_facts(right)
+    found = smart_match(a, b, least)
+    kinds = {f"{side}_{what}": {c: getattr(x, name) for c, x in facts.items()} for side, facts in (("left", a), ("right", b)) for what, name in (("types", "data_type"), ("patterns", "pattern"))}
+    return found | kinds
+
+
+def key_options(left: DataFrame, right: DataFrame, column_map: Mapping[str, str] | None = None) -> list[str]:
+    """Columns that both sides have, sorted, right ones by their mapped names; an error if there are none."""
+    renamed = [(column_map or {}).get(c, c) for c in right.columns]
+    found = common_names(left.columns, renamed)
+    if not found:
+        raise KeyValidationError(f"no column is on both sides: left has {', '.join(left.columns)}; right has {', '.join(renamed)}")
+    return found
+
+
+def choose_key(left: DataFrame, right: DataFrame, choose, column_map: Mapping[str, str] | None = None) -> tuple[list[str], KeyCheck, KeyCheck]:
+    """Ask ``choose(options, problem)`` for key columns until they identify the rows of both sides.
+
+    ``problem`` is None at first, then says why the last choice was refused;
+    ``choose`` returns a list of names, or None to give up, which raises.
+    """
+    options = key_options(left, right, column_map)
+    back = {normal_name(v): k for k, v in (column_map or {}).items()}
+    problem = None
+    while True:
+        keys = choose(options, problem)
+        if keys is None:
+            raise KeyValidationError("no key was chosen")
+        unknown = [k for k in keys if k not in options]
+        if unknown or not keys:
+            problem = f"not among the options: {', '.join(unknown)}" if unknown else "a key needs a column"
+            continue
+        checks, problem = [], None
+        for side, df in (("left", left), ("right", right)):
+            names = {normal_name(c): c for c in df.columns}
+            if side == "right":
+                names |= {n: c for n, c in back.items() if c in df.columns}
+            checks.append(check_key(df, [names[k] for k in keys]))
+            if not checks[-1].is_valid:
+                problem = f"{', '.join(keys)} repeats on the {side}: {checks[-1].duplicate_rows} rows in {checks[-1].duplicate_groups} groups"
+                break
+        if problem is None:
+            return list(keys), checks[0], checks[1]
+
+
+def schema_report(left: DataFrame, right: DataFrame) -> dict:
+    """Both sides' columns and types, and the pairs of equal normal form."""
+    by = [{normal_name(c): c for c in reversed(df.columns)} for df in (left, right)]
+    both = common_names(left.columns, right.columns)
+    return {
+        "left": dict(left.dtypes),
+        "right": dict(right.dtypes),
+        "common": [{"name": n, "left": by[0][n], "right": by[1][n]} for n in both],
+        "only_left": [c for c in left.columns if normal_name(c) not in both],
+        "only_right": [c for c in right.columns if normal_name(c) not in both],
+    }
+
+
 def save_json(result: dict, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(result, f, indent=2, ensure_ascii=False, default=str)
@@ -140,19 +221,46 @@ def save_json(result: dict, path: str) -> None:
 NORMALIZER_OF = {"currency": "currency_usd", "email": "lower", "identifier": "upper"}
 
 
+# Names of types in configurations, and the sheet that is read.
+DTYPE_OF = {"integer": "int64", "float": "float64", "string": "string", "date": "date", "boolean": "boolean", "null": "string"}
+FIRST_SHEET = "Sheet1"
+
+
+def _file(path: str, keys: list[str], types: Mapping[str, str], names: Mapping[str, str]) -> dict:
+    """The part of a data set's entry that both sides have."""
+    kind = path.rsplit(".", 1)[-1].lower() if "." in path else "csv"
+    out = {"path": path, "type": "excel" if kind in ("xlsx", "xls") else kind, "key_columns": keys}
+    if out["type"] == "excel":
+        out["sheet"] = FIRST_SHEET
+    if types:
+        out["dtypes"] = {names.get(c, normal_name(c)): DTYPE_OF.get(t, t) for c, t in types.items()}
+    return out
+
+
 def generate_config(
-    left_path: str, right_path: str, matches: Sequence[Match], keys: Sequence[str], left_name: str = "left", right_name: str = "right", patterns: Mapping[str, str] | None = None
+    left_path: str,
+    right_path: str,
+    matches: Sequence[Match],
+    keys: Sequence[str],
+    left_name: str = "left",
+    right_name: str = "right",
+    patterns: Mapping[str, str] | None = None,
+    left_types: Mapping[str, str] | None = None,
+    right_types: Mapping[str, str] | None = None,
 ) -> dict:
-    """Configuration of one comparison: right columns mapped to left names, keys, normalisers by pattern."""
+    """Configuration of one comparison: right columns mapped to left names, keys, types, sheets, normalisers by pattern."""
     kept = resolve(matches, keys)
     names = dict(zip([m.left_column for m in kept], normal_names([m.left_column for m in kept])))
+    theirs = {m.right_column: names[m.left_column] for m in kept}
     by_pattern = {names[c]: NORMALIZER_OF[p] for c, p in (patterns or {}).items() if c in names and p in NORMALIZER_OF}
-    kind = lambda p: p.rsplit(".", 1)[-1].lower() if "." in p else "csv"
     key_names = [names.get(k, normal_name(k)) for k in keys]
+    left = _file(left_path, key_names, left_types or {}, names)
+    left["normalizers"] = {c: n for c, n in by_pattern.items() if n != "currency_usd"}
+    left["converters"] = {c: n for c, n in by_pattern.items() if n == "currency_usd"}
+    right = _file(right_path, key_names, right_types or {}, theirs)
+    right["column_map"] = {normal_name(c): n for c, n in theirs.items() if normal_name(c) != n}
+    values = [names[m.left_column] for m in kept if m.left_column not in keys]
     return {
-        "datasets": {
-            left_name: {"path": left_path, "type": kind(left_path), "key_columns": key_names, "normalizers": {c: n for c, n in by_pattern.items() if n != "currency_usd"}, "converters": {c: n for c, n in by_pattern.items() if n == "currency_usd"}},
-            right_name: {"path": right_path, "type": kind(right_path), "key_columns": key_names, "column_map": {normal_name(m.right_column): names[m.left_column] for m in kept if normal_name(m.right_column) != names[m.left_column]}},
-        },
-        "comparisons": [{"left_dataset": left_name, "right_dataset": right_name, "comparison_keys": key_names, "value_columns": [names[m.left_column] for m in kept if m.left_column not in keys]}],
+        "datasets": {left_name: left, right_name: right},
+        "comparisons": [{"name": f"{left_name}_vs_{right_name}", "left_dataset": left_name, "right_dataset": right_name, "comparison_keys": key_names, "value_columns": values}],
     }

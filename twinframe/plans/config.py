@@ -19,6 +19,7 @@ class DatasetConfig:
     column_map: dict[str, str] = field(default_factory=dict)
     custom_sql: str | None = None
     date_filter: dict[str, str] = field(default_factory=dict)
+    sheet: str | int = 0
     chunk_size: int = 10000
 
     def __post_init__(self):

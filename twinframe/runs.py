@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import resource
 import time
 from contextlib import contextmanager
@@ -20,6 +21,26 @@ def _write(path: str | Path, value) -> None:
     Path(path).write_text(json.dumps(value, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
 
 
+class JsonLines(logging.Handler):
+    """Log records as lines of JSON: timestamp, level, logger, message, and ``context`` if a record brings one (``extra={"context": {...}}``)."""
+
+    def __init__(self, path: str | Path):
+        super().__init__()
+        self.path = Path(path)
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+
+    def emit(self, record: logging.LogRecord) -> None:
+        at = time.strftime("%Y-%m-%dT%H:%M:%S", time.localtime(record.created))
+        entry = {"timestamp": f"{at}.{int(record.msecs):03d}", "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+        if context := getattr(record, "context", None):
+            entry["context"] = context
+        try:
+            with open(self.path, "a", encoding="utf-8") as f:
+                f.write(json.dumps(entry, ensure_ascii=False, default=str) + "\n")
+        except OSError:
+            self.handleError(record)
+
+
 @dataclass
 class Lineage:
     """Data sets and comparisons as a graph."""

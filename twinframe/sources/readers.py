@@ -23,34 +23,34 @@ LEAST_CHUNK, LARGE_FILE, MANY_COLUMNS = 1000, 1 << 30, 100
 READABLE = (".csv", ".xlsx", ".xls", ".parquet")
 
 
-def is_utf8(path: str | Path) -> bool:
-    """Whether a local file decodes as UTF-8; read in blocks."""
-    import codecs
-
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    try:
-        with open(path, "rb") as f:
-            while block := f.read(1 << 20):
-                decoder.decode(block)
-        decoder.decode(b"", final=True)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
-def read_csv(spark: SparkSession, path: str | Path, infer: bool = False, clean: bool = True, encoding: str | None = None, sampling: float = 1.0) -> DataFrame:
-    """A CSV with a header; UTF-8, else ISO-8859-1.  Columns are text unless ``infer``; malformed lines go; repeated headers become ``a``, ``a.1``."""
-    if encoding is None:
-        local = Path(str(path).removeprefix("file://"))
-        encoding = "utf-8" if not local.is_file() or is_utf8(local) else "iso-8859-1"
-    options = {"header": True, "encoding": encoding, "mode": "DROPMALFORMED", "multiLine": True, "quote": '"', "escape": '"', "inferSchema": infer, "samplingRatio": sampling}
+def csv_facts(spark: SparkSession, path: str | Path) -> tuple[bool, bool]:
+    """(every line is UTF-8, some line leaves a quote open): one distributed pass over the lines."""
+    line = F.col("value")
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    row = spark.read.text(str(path)).agg(F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open")).first()
+    return row["utf8"] is not False, bool(row["open"])
+
+
+def read_csv(
+    spark: SparkSession, path: str | Path, infer: bool = False, clean: bool = True, encoding: str | None = None, sampling: float = 1.0, multiline: bool | None = None
+) -> DataFrame:
+    """A CSV with a header; UTF-8, else ISO-8859-1.  Columns are text unless ``infer``; malformed lines go; repeated headers become ``a``, ``a.1``.
+
+    Files are split among tasks unless quoted fields hold line ends; unless
+    ``multiline`` says so, a line with an odd number of quotes tells.
+    """
+    if encoding is None or multiline is None:
+        utf8, open_quotes = csv_facts(spark, path)
+        encoding = encoding or ("utf-8" if utf8 else "iso-8859-1")
+        multiline = open_quotes if multiline is None else multiline
+    options = {"header": True, "encoding": encoding, "mode": "DROPMALFORMED", "multiLine": multiline, "quote": '"', "escape": '"', "inferSchema": infer, "samplingRatio": sampling}
     df = spark.read.options(**options).csv(str(path))
     local = Path(str(path).removeprefix("file://"))
     if local.is_file():
         import csv
 
         with open(local, encoding=encoding, errors="replace", newline="") as f:
-            header = [h.removeprefix("﻿") for h in next(csv.reader(f), [])]
+            header = [h.removeprefix("\ufeff") for h in next(csv.reader(f), [])]
         if len(header) == len(df.columns):
             df = df.toDF(*pandas_spelling(header))
     return normalize_frame(df) if clean else df
@@ -181,7 +181,8 @@ class Stager:
     def stage(self, config: DatasetConfig, force: bool = False) -> DataFrame:
         staged, notes = self._paths(config)
         if force or self.is_stale(config):
-            df = read(self.spark, config.path)
+            options = {"sheet": config.sheet} if Path(config.path).suffix.lower() in (".xlsx", ".xls") else {}
+            df = read(self.spark, config.path, **options)
             columns = df.columns
             if config.custom_sql:
                 df = custom_sql(self.spark, df, config.custom_sql, config.name)
@@ -211,4 +212,4 @@ def data_files(folder: str | Path) -> list[tuple[str, str]]:
     return [(p.name, size(p.stat().st_size)) for p in sorted(found, key=lambda p: p.name.lower())]
 
 
-__all__ = ["Stager", "apply_functions", "chunk_rows", "chunks", "custom_sql", "data_files", "fingerprint", "headers", "is_utf8", "map_chunks", "normal_names", "read", "read_as_view", "read_csv", "read_excel"]
+__all__ = ["Stager", "apply_functions", "chunk_rows", "chunks", "csv_facts", "custom_sql", "data_files", "fingerprint", "headers", "map_chunks", "normal_names", "read", "read_as_view", "read_csv", "read_excel"]

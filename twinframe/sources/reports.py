@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import shutil
 import uuid
 import zipfile
@@ -20,19 +21,52 @@ from ..plans.config import ComparisonConfig
 ZIP_BYTES = 10 << 20
 
 
-def write_csv(df: DataFrame, path: Path) -> Path:
-    """One CSV file with a header and every field quoted."""
+#: Rows of a part that one task writes, unless the configuration says otherwise.
+PART_ROWS = 50_000
+
+
+def _header(df: DataFrame) -> bytes:
+    return (",".join('"' + c.replace('"', '""') + '"' for c in df.columns) + "\n").encode()
+
+
+def _parts(df: DataFrame, work: Path, rows: int) -> list[Path]:
+    """Parts without headers, written by all tasks, in the order of the rows."""
+    df.write.options(header=False, quoteAll=True, escape='"', emptyValue="", nullValue="", maxRecordsPerFile=rows).csv(str(work))
+    found = [(re.match(r"part-(\d+)-.*-c(\d+)", p.name), p) for p in work.glob("part-*.csv")]
+    return [p for m, p in sorted(found, key=lambda x: (int(x[0][1]), int(x[0][2]))) if p.stat().st_size]
+
+
+def write_csv(df: DataFrame, path: Path, rows: int = PART_ROWS) -> Path:
+    """One CSV file with a header and every field quoted.
+
+    All tasks write; their parts are then strung together.  The folder must be
+    one that the executors share.
+    """
     work = path.parent / f".{path.stem}_{uuid.uuid4().hex[:8]}"
-    df.coalesce(1).write.options(header=True, quoteAll=True, escape='"', emptyValue="", nullValue="").csv(str(work))
-    part = next(iter(sorted(work.glob("part-*.csv"))), None)
-    if part is None:
-        path.write_text(",".join(f'"{c}"' for c in df.columns) + "\n", encoding="utf-8")
-    else:
-        shutil.move(str(part), path)
+    with open(path, "wb") as out:
+        out.write(_header(df))
+        for part in _parts(df, work, rows):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
     shutil.rmtree(work)
     return path
 
 
+def write_csv_parts(df: DataFrame, path: Path, rows: int = PART_ROWS) -> list[Path]:
+    """Files ``<stem>_part001.csv`` and on, of at most ``rows`` rows, each with a header; one at least."""
+    work = path.parent / f".{path.stem}_{uuid.uuid4().hex[:8]}"
+    out = []
+    for part in _parts(df, work, rows) or [None]:
+        out.append(path.with_name(f"{path.stem}_part{len(out) + 1:03d}{path.suffix}"))
+        with open(out[-1], "wb") as target:
+            target.write(_header(df))
+            if part is not None:
+                with open(part, "rb") as f:
+                    shutil.copyfileobj(f, target, 1 << 20)
+    shutil.rmtree(work)
+    return out
+
+
 def run_folder(left: str, right: str, base: str | Path = "data/reports", now: dt.datetime | None = None) -> Path:
     return Path(base) / f"{left}_vs_{right}_{(now or dt.datetime.now()):%Y%m%d_%H%M%S}"
 
@@ -86,16 +120,19 @@ def export(comparison: Comparison, config: ComparisonConfig, folder: str | Path,
         if not config.export_full:
             keys = [p[0 if side == "left" else 1] for p in comparison.plan.keys]
             lone = lone.orderBy(*[f"`{k}`" for k in keys]).limit(config.max_differences)
-        files[f"only_in_{side}"] = write_csv(lone, folder / f"only_in_{name}.csv")
+        files[f"only_in_{side}"] = write_csv(lone, folder / f"only_in_{name}.csv", config.chunk_export_size)
     if comparison.plan.values:
         preview = folder / "value_differences.csv"
         if config.annotate_entire_column:
             rows = comparison.annotated().persist(StorageLevel.DISK_ONLY)
             try:
                 if config.export_full:
-                    files["value_differences_full"] = write_csv(comparison.full_export(rows).orderBy("Differing Column", "Key"), folder / "value_differences_full.csv")
+                    full = comparison.full_export(rows).orderBy("Differing Column", "Key")
+                    files["value_differences_full"] = write_csv(full, folder / "value_differences_full.csv", config.chunk_export_size)
                     if config.export_rowlevel_audit_full:
-                        files["value_differences_full_audit"] = write_csv(comparison.audit_export(rows).orderBy("Key", "Differing Column"), folder / "value_differences_full_audit_part001.csv")
+                        audit = comparison.audit_export(rows).orderBy("Key", "Differing Column")
+                        for i, part in enumerate(write_csv_parts(audit, folder / "value_differences_full_audit.csv", config.chunk_export_size)):
+                            files["value_differences_full_audit" + (f"_{i + 1}" if i else "")] = part
                 if config.enable_smart_preview:
                     shown = comparison.smart_preview(config.csv_preview_limit, config.entire_column_sample_size, config.preview_order, rows)
                 else:
