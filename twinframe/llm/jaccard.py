@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, join_small, release, scramble
+from .common import WordHasher, cut, give_back, join_small, release, scramble
 
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D]
 
@@ -95,6 +95,7 @@ def shingle_rows(docs: DataFrame, k: int, percent: int, orders: list[tuple[int,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         sets = ShingleSets(k)
         for large in batches:
             for batch in _slices(large, 1000):

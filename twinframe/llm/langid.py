@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, unit_hash
+from .common import cut, give_back, join_small, unit_hash
 
 #: Bound on labelled rows of each language that profiles are fitted on, on average.
 FIT_ROWS = 1500
@@ -153,6 +153,7 @@ def predict_language(docs: DataFrame, profiles: Profiles, text_col: str = "text"
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         counter = GramCounter()
         for batch in batches:
             out = [profiles.predict(counter.ranked(t.as_py() or "", profiles.size)) for t in batch.column(len(keep))]

@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 MARK = "▁"
 
 #: Bytes that a generation of a worker's table may take, and the longest chunk kept in it.
-TABLE_BYTES, CHUNK_CHARS = 32 << 20, 48
+TABLE_BYTES, CHUNK_CHARS = 24 << 20, 48
 #: What an entry takes beside its characters (two dictionary slots, a tuple, three strings).
 ENTRY_BYTES = 330
 #: Characters of a long text that are cut into chunks at a time, and of short texts looked up together.
-BLOCK, GROUP = 1 << 16, 1 << 18
+BLOCK, GROUP = 1 << 16, 1 << 16
 
 
 class ChunkTable:
@@ -175,6 +177,7 @@ def encode_pieces(
         schema += ", ids array<int>, decoded string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         table = ChunkTable(model, table_bytes)
         for large in batches:
             for at in range(0, large.num_rows, 500):
