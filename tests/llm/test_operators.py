@@ -182,6 +182,38 @@ def test_language_fit_sample_is_bounded(spark):
     assert 20 < drawn < 65
 
 
+def test_language_fit_and_floor_take_all_rows(spark, monkeypatch):
+    """Profiles and threshold of more rows than the former bound on a sample (1,500 a language) are those of all rows."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(4200):
+        words = (FR if i < 100 else EN).split()
+        rows.append((i, " ".join(rng.choice(words, rng.integers(3, 12))) + f" {chr(97 + i % 26)}x", "fr" if i < 100 else "en"))
+    docs = spark.createDataFrame([*rows, (9000, None, "en"), (9001, EN, None), (9002, "", "en"), (9003, "12 34", "fr")], "doc_id bigint, text string, lang string").repartition(3)
+    counter, counts = langid.GramCounter(), {"en": collections.Counter(), "fr": collections.Counter()}
+    for _, text, lang in rows:
+        counts[lang].update(dict(zip(*(x.tolist() for x in counter.grams(text)))))
+    want = langid.Profiles({lang: np.array([g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]) for lang, c in counts.items()})
+    for held in (langid.HELD, 50):
+        monkeypatch.setattr(langid, "HELD", held)
+        got = langid.fit_profiles(docs)
+        assert got.languages == want.languages and np.array_equal(got.keys, want.keys) and np.array_equal(got.ranks, want.ranks)
+    scores = {"en": [], "fr": []}
+    for _, text, lang in rows:
+        scores[lang].append(want.predict(counter.ranked(text))[1])
+    for bins in (langid.BINS, 1):
+        monkeypatch.setattr(langid, "BINS", bins)
+        assert langid.score_floor(docs, want) == min(float(np.median(x)) / 2 for x in scores.values())
+
+
+def test_language_medians(spark):
+    rng = np.random.default_rng(9)
+    groups = {"a": [0.5], "b": [0.0, 1.0], "c": [1.0] * 4, "d": [0.1, 0.1, 0.3, 0.3], "e": rng.random(1001).tolist(), "f": (rng.random(500) / 1e4).round(6).tolist()}
+    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "lang string, score double").repartition(3)
+    assert langid.medians(rows) == {g: float(np.median(xs)) for g, xs in groups.items()}
+    assert langid.medians(rows.limit(0)) == {}
+
+
 def shingles(t, k):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
