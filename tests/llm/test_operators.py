@@ -719,6 +719,26 @@ def test_pipeline_edges(spark, none, docs):
         assert out.columns == clash.columns and all(r["key"] == "z" for r in out.select("key").collect())
 
 
+def test_pipeline_hands_small_batches_to_python(spark, docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    pa = pytest.importorskip("pyarrow")
+    many = spark.range(3000, numPartitions=1).selectExpr("id", "'x' AS text")
+    large = spark.range(40, numPartitions=1).selectExpr("id", "repeat('x', 1000000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    for stage in (corpus_pipeline.identified, corpus_pipeline.single, corpus_pipeline.encoded):
+        for name in corpus_pipeline.BATCHES:
+            spark.conf.unset(name)
+        stage(spark, docs, "")
+        rows = many.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+        assert sum(r["n"] for r in rows) == 3000 and max(r["n"] for r in rows) <= 1000
+        rows = large.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+        assert sum(r["n"] for r in rows) == 40 and max(r["bytes"] for r in rows) < 12 << 20
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     P = pytest.importorskip("public_tokenizers")
