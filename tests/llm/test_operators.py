@@ -321,6 +321,35 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and got[101] == 50 and got[100] == 50
 
 
+def test_jaccard_steps(spark, monkeypatch):
+    """Thin tables in many partitions are read by few tasks, and a finished star costs no further round."""
+    rows = near_group()
+    want, _ = linked(rows, 4, 85)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        join = jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85)
+        nodes = join.classes.select("node", "rep").collect()
+        labels = {r["node"]: r["component"] for r in join.representative_components().collect()}
+        few = 2 * spark.sparkContext.defaultParallelism
+        assert all(df.rdd.getNumPartitions() <= few for df in (join.classes, join.filters, join.postings))
+        cuts = []
+        monkeypatch.setattr(jaccard, "cut", lambda df, f=jaccard.cut: cuts.append(1) or f(df))
+        star = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 21)], "a bigint, b bigint")
+        assert {r["node"]: r["component"] for r in jaccard.components(star).collect()} == {i: 1 for i in range(1, 9)} | {20: 20, 21: 20}
+        assert len(cuts) == 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    least = {}
+    for r in nodes:
+        c = labels.get(r["node"], r["node"])
+        least[c] = min(least.get(c, r["rep"]), r["rep"])
+    assert {r["rep"]: least[labels.get(r["node"], r["node"])] for r in nodes} == {i: want[i][1] for i in (r["rep"] for r in nodes)}
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(3)
     rows, labels = [], []

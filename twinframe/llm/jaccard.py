@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, cut, give_back, join_small, release, scramble
+from .common import WordHasher, give_back, join_small, release, scramble
+from .common import cut_thin as cut
 
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D]
 
@@ -161,13 +162,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating stars: every node ties its larger neighbours to its smallest
     one, then its smaller neighbours and itself to the smallest of them, until
-    each component is one star.  Rounds grow with the logarithm of the longest
+    each component is one star: every node has one smaller neighbour, which has
+    none.  Rounds grow with the logarithm of the longest
     path; each is one cut.  Minima are aggregated before the shuffle, and the
     joins back are such that AQE can split a hub's neighbours.
     """
     low, high = F.least("a", "b").cast("long"), F.greatest("a", "b").cast("long")
     left = cut(edges.where("a <> b").select(high.alias("a"), low.alias("b")).distinct())
-    state = None
     while True:
         both = left.union(left.select("b", "a"))
         nearest = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
@@ -176,8 +177,9 @@ def components(edges: DataFrame) -> DataFrame:
         tied = large.join(least, "a").select("a", "b", "least")
         small = tied.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(tied.select("a", F.col("least").alias("b")))
         left = cut(small.distinct())
-        before, state = state, left.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if state == before or not state["n"]:
+        ends = left.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(left.select("b", F.lit(0), F.lit(1)))
+        chained = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        if not chained.agg(F.count(F.lit(1))).first()[0]:
             break
     return cut(left.select(F.col("a").alias("node"), F.col("b").alias("component")).union(left.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
 
@@ -282,7 +284,7 @@ class JaccardJoin:
         return cut(pairs.select("a", "b"))
 
     def _pairs(self, postings: DataFrame, *unlike: str) -> DataFrame:
-        """Pairs of members of one posting list that every order lets pass, each pair once.
+        """Pairs of members of one posting list (as of :meth:`_mixed`) that every order lets pass, each pair once.
 
         At the first token that two sets share, neither can share more than the
         tokens from there on (``left``); a similar pair has enough of them at
@@ -295,11 +297,10 @@ class JaccardJoin:
         """
         names = [f"p{o}" for o, _ in self.orders]
         short = [F.when(F.size(p) <= self.CARRIED, F.col(p)).alias(p) for p in names]
-        long = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > self.LONG_LIST).select("token", F.lit(True).alias("long")))
         t = self.percent / 100
         step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) * F.lit(-4 / np.log(t) if t < 1 else 1e3)).cast("int")
         rows = (
-            join_small(postings.select("token", "node", "left", *unlike), long, "token", "left")
+            postings.select("token", "node", "left", (F.col("rows") > self.LONG_LIST).alias("long"), *unlike)
             .join(self.filters.select("node", "n", *short), "node")
             # the largest set that this one can be similar to from here on
             .withColumn("most", F.floor(F.lit(100 + self.percent) * F.col("left") / F.lit(self.percent)) - F.col("n"))
@@ -321,27 +322,26 @@ class JaccardJoin:
         """All links between class representatives: ``a, b, both, either`` (ids, sizes of intersection and union)."""
         if not self._candidates_ready():
             return self.docs.sparkSession.createDataFrame([], "a bigint, b bigint, both int, either int")
-        found = self._verified(self._pairs(self.postings))
+        found = self._verified(self._pairs(self._mixed(self.postings, None)[0]))
         for side in ("a", "b"):
             found = found.join(self.classes.select(F.col("node").alias(side), F.col("rep").alias(f"{side}_doc")), side)
         return found.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"), "both", "either")
 
-    def _mixed(self, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
-        """Postings of tokens whose members have different labels, their number, and
-        how many pairs of members with different labels they hold."""
-        rows = self.postings
+    def _mixed(self, postings: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
+        """Postings of tokens whose members have different labels, with ``rows`` of their list,
+        their number, and how many pairs of members with different labels they hold."""
+        rows = postings.drop("label", "rows")
         if labels is None:
             rows = rows.withColumn("label", F.col("node"))
         else:
-            of = labels.select("node", "component")
-            rows = rows.join(of, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        rows = cut(rows)
+            rows = join_small(rows, labels.select("node", "component"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+            rows = cut(rows)
         groups = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
         split = cut(
             groups.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("labels > 1")
         )
         total = split.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2).alias("pairs")).first()
-        return cut(join_small(rows, split.select("token"), "token", "left_semi")), total["rows"] or 0, int(total["pairs"] or 0)
+        return cut(join_small(rows, split.select("token", "rows"), "token")), total["rows"] or 0, int(total["pairs"] or 0)
 
     def representative_components(self, least_rounds: int = 1, rounds: int = 24, partners: int = 10) -> DataFrame | None:
         """``node, component`` of nodes that have a link, or None if none has.
@@ -357,13 +357,15 @@ class JaccardJoin:
         if not self._candidates_ready():
             return labels
 
-        def joined(found: DataFrame):
+        def joined(found: DataFrame) -> bool:
             nonlocal links, labels
-            if found.take(1):
-                links = found if links is None else cut(links.union(found))
-                labels = components(links)
+            if not found.take(1):
+                return False
+            links = found if links is None else cut(links.union(found))
+            labels = components(links)
+            return True
 
-        rows, size, pairs = self._mixed(labels)
+        rows, size, pairs = self._mixed(self.postings, labels)
         for r in range(rounds):
             if not size or r >= least_rounds and pairs <= partners * size:
                 break
@@ -375,10 +377,11 @@ class JaccardJoin:
             pivots = cut(tops.select("token", F.inline(each)))
             stars = join_small(rows, pivots, "token").where((F.col("label") != F.col("label_p")) & self._enough("shared", "shared_p", "n", "n_p"))
             stars = cut(stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-            joined(self._verified(self._filtered(stars)).select("a", "b"))
-            release(self.docs.sparkSession)
             before = pairs
-            rows, size, pairs = self._mixed(labels)
+            if joined(self._verified(self._filtered(stars)).select("a", "b")):
+                release(self.docs.sparkSession)
+                # labels only ever grow together, so what is left out stays so
+                rows, size, pairs = self._mixed(rows, labels)
             if r >= least_rounds and pairs > 0.9 * before:
                 break
         if size:
